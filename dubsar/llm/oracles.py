@@ -74,4 +74,56 @@ FROM base d LEFT JOIN joined j ON d.doc_id = j.doc_id
 """
 )
 
-ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2}
+OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         len(regexp_extract_all(coalesce(text, ''), '[\\#<]')) AS codes, len(regexp_extract_all(coalesce(role, ''), '[\\#<:]')) AS role_codes
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + role_codes + length(text) + codes + 15)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_B32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_CHUNKS = " || ".join(f"substr({_B32}, ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))
+OP7 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, {_CHUNKS} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT p.*, o.first FROM p JOIN o USING (h))
+"""
+
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM e JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, both_ways.b FROM reach JOIN both_ways ON reach.y = both_ways.a
+), comp AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2, "op6_chat_format": OP6, "op7_warc": OP7, "op9_near_dedup": OP9}

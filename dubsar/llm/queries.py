@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dubsar.llm import bpe, quality_rules, secret_scans, token_counts
-from dubsar.llm.shared import table
+from dubsar.llm import bpe, chat_format, decontaminate, language_model, near_dedup, quality_rules, secret_scans, token_counts, toxicity, warc
+from dubsar.llm.shared import stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,14 +33,54 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *each, base.alias("base_sha256"), secret_scans.listed(F.col("findings")).alias("spans"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    nodes = stored(chat_format.as_tree(given.unionByName(extra)), "chat-nodes")
+    back = chat_format.parsed(stored(chat_format.formatted(nodes), "chat-formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    back = warc.round_trip(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    return language_model.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_bpe, op8_token_counts)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_secret_scans, op3_decontaminate, op4_bpe, op5_toxicity, op6_chat_format, op7_warc, op8_token_counts, op9_near_dedup, op10_language_model)
 }

@@ -133,3 +133,18 @@ def listed(findings: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
 
 def counted(findings: Column, kind: str) -> Column:
     return F.size(F.filter(findings, lambda s: s["kind"] == kind)).cast("long")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with every finding of the ledger replaced by a tag; n_chars follows where it is a column.
+
+    Only rows with findings are rewritten; the ids of those rows are broadcast when
+    they are few enough, else joined by a shuffle.
+    """
+    hit = stored(scan(docs).where(F.size("findings") > 0).select("doc_id").distinct().withColumn("_hit", F.lit(True)), "secret-hits")
+    side = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
+    named = side.withColumnRenamed("doc_id", "_id")
+    marked = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left")
+    text = F.when(F.col("_hit"), redact(F.col("text"))).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("_hit"), F.length(redact(F.col("text"))).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return marked.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
