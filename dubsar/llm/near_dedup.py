@@ -38,8 +38,10 @@ WORDS, SIMILARITY = 5, 75
 MANTISSA = 10
 #: Registers that must match, of the share that the threshold leads one to expect less five standard errors.
 SLACK = 0.2
-ROUNDS = 4
+ROUNDS = 3
 SMALL = 48
+#: Bits of two 128-bit sketches (one bit a register) that may differ: 16 are expected at the threshold, the rest is over four standard errors.
+SKETCH_BITS = 33
 #: Ids broadcast at most (8 bytes each).
 MOST_BROADCAST = 2_000_000
 _MULT = np.random.default_rng(20240229).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,14 +106,19 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for b in batches:
-        ids, ns, keys, regs = [], [], [], []
+        ids, ns, keys, regs, low, high = [], [], [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             s = shingle_set(t, hashes)
             ids.append(i)
             ns.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            regs.append(registers(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "set_key", "regs"])
+            r = registers(s) if len(s) else np.empty(0, np.uint16)
+            regs.append(r.tobytes())
+            two = np.packbits((r & 1).astype(bool)).view(np.int64).tolist() if len(s) else (0, 0)
+            low.append(two[0])
+            high.append(two[1])
+        columns = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set_key", "regs", "s1", "s2"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +152,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     with_a = pairs.join(regs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "a")
     both = with_a.join(regs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "b")
     close = stored(both.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_plausible, "a long, b long"), "near-close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = stored(ids, "near-ids")
-    if ids.count() <= MOST_BROADCAST:  # else both sides are shuffled
-        ids = F.broadcast(ids)
-    sets = stored(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, s array<long>"), "near-sets")
+    sets = _sets_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
     one = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
@@ -181,39 +184,44 @@ def _relabelled(comp: DataFrame | None, reps: DataFrame) -> DataFrame:
     return own.withColumn("comp", F.col("id")) if comp is None else own.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
+def _may_link(a: str, b: str) -> Column:
+    """Whether sizes and sketches of two sides (columns n, s1, s2 with a suffix) allow the threshold."""
+    c = lambda name, side: F.col(name + side)
+    apart = F.bit_count(c("s1", a).bitwiseXOR(c("s1", b))) + F.bit_count(c("s2", a).bitwiseXOR(c("s2", b)))
+    return (apart <= SKETCH_BITS) & (100 * F.least(c("n", a), c("n", b)) >= SIMILARITY * F.greatest(c("n", a), c("n", b)))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "id long, n long, set_key binary, regs binary"), "near-signed")
+    signed = stored(texts.mapInArrow(_sign, "id long, n long, set_key binary, regs binary, s1 long, s2 long"), "near-signed")
     full = signed.where("n > 0")
-    classes = stored(full.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    reps = stored(full.join(classes.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "n", "regs"), "near-reps")
+    classes = stored(full.groupBy("set_key").agg(F.min("id").alias("id")), "near-classes")
+    reps = stored(full.join(classes, ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "n", "regs", "s1", "s2"), "near-reps")
     banded = reps.select("id", F.explode(_bands(F.col("regs"))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(banded.join(shared.select("bucket"), "bucket"), "near-members")
+    members = stored(banded.join(shared.select("bucket"), "bucket").join(reps.select("id", "n", "s1", "s2"), "id"), "near-members")
     edges: list[DataFrame] = []
     comp: DataFrame | None = None
     for k in range(ROUNDS):
-        labels = _relabelled(comp, reps)
-        placed = stored(members.join(labels, "id"), "near-placed") if k else members.withColumn("comp", F.col("id"))
+        placed = stored(members.join(_relabelled(comp, reps), "id"), "near-placed") if k else members.withColumn("comp", F.col("id"))
         order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
-        open_ = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+        open_ = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n", "s1", "s2")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
         if k:
             open_ = open_.where("lo <> hi and size > 2")
-        centres = open_.select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        pairs = placed.join(centres, "bucket").where("comp <> centre_comp").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        centres = open_.select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("comp_c"), *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("n", "s1", "s2")))
+        pairs = placed.join(centres, "bucket").where((F.col("comp") != F.col("comp_c")) & _may_link("", "_c")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         new = stored(_linked(pairs, reps, texts), "near-links")
         edges.append(new)
         if k and not new.limit(1).count():
             break
         comp = components(_all(edges))
-    rest = _within(members.join(_relabelled(comp, reps), "id"), reps)
-    last = stored(_linked(rest, reps, texts), "near-links")
+    last = stored(_linked(_within(members.join(_relabelled(comp, reps), "id"), reps, texts), reps, texts), "near-links")
     if last.limit(1).count():
         comp = components(_all([*edges, last]))
-    by_rep = classes.select("set_key", "id").join(_relabelled(comp, reps), "id").select("set_key", "comp")
+    by_rep = classes.join(_relabelled(comp, reps), "id").select("set_key", "comp")
     labelled = full.select("id", "n", "set_key").join(by_rep, "set_key", "left").select("id", "n", "comp")
     out = labelled.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("comp")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
@@ -226,20 +234,45 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _within(placed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components that share a small bucket, or two bands where the first is large."""
+def _within(placed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components that share a small bucket, or two bands where the first is large.
+
+    In large buckets most pairs that remain lie just below the threshold. A shingle
+    that no other document in an open large bucket has can be in no intersection, so
+    m, the rest of a document's set, bounds its similarity to every partner there.
+    """
     sizes = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
     here = stored(placed.join(sizes.select("bucket", "first", "size"), "bucket"), "near-open")
-    few = here.where(F.col("size") <= SMALL).select("bucket", "id", "comp", "first")
-    many = here.where(F.col("size") > SMALL).select("bucket", "id", "comp")
+    own = ["id", "comp", "n", "s1", "s2"]
+    few = here.where(F.col("size") <= SMALL).select("bucket", "first", *own, F.col("n").alias("m"))
+    many = here.where(F.col("size") > SMALL).select("bucket", *own)
+    shared = _shared_sizes(many.select("id").distinct(), texts)
+    bounded = many.join(shared, "id").where(100 * F.col("m") >= SIMILARITY * F.col("n"))
     bands = reps.select("id", _bands(F.col("regs")).alias("keys"))
-    second = many.join(bands, "id").select(F.explode("keys").alias("other"), "bucket", "id", "comp").where("other > bucket")
-    paired = second.select(F.xxhash64("bucket", "other").alias("bucket"), "id", "comp", F.lit(-1).cast("long").alias("first"))
-    keyed = few.unionByName(paired)
-    left = keyed.where("id <> first").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = keyed.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), "first").where("b <> first").drop("first")
-    on = (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    return left.join(right, on).select("a", "b").distinct()
+    second = bounded.join(bands, "id").select(F.explode("keys").alias("other"), "bucket", *own, "m").where("other > bucket")
+    paired = second.select(F.xxhash64("bucket", "other").alias("bucket"), F.lit(-1).cast("long").alias("first"), *own, "m")
+    keyed = few.unionByName(paired).where(F.col("id") != F.col("first")).drop("first")
+    left, right = (keyed.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in (*own, "m"))) for side in "lr")
+    most = F.least("m_l", "m_r")
+    fits = (100 + SIMILARITY) * most >= SIMILARITY * (F.col("n_l") + F.col("n_r"))
+    both = left.join(right, "bucket").where((F.col("id_l") < F.col("id_r")) & (F.col("comp_l") != F.col("comp_r")) & _may_link("_l", "_r") & fits)
+    return both.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct()
+
+
+def _shared_sizes(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, m: how many of a document's shingles some other of these documents has too."""
+    sets = _sets_of(ids, texts)
+    each = sets.select("id", F.explode("s").alias("g"))
+    alone = each.groupBy("g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    return stored(sets.select("id", F.size("s").alias("size")).join(alone, "id", "left").select("id", (F.col("size") - F.coalesce("k", F.lit(0))).cast("long").alias("m")), "near-shared")
+
+
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and s, the full shingle set, of some documents, worked out anew from their texts."""
+    ids = stored(ids, "near-ids")
+    if ids.count() <= MOST_BROADCAST:  # else both sides are shuffled
+        ids = F.broadcast(ids)
+    return stored(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, s array<long>"), "near-sets")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
