@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubsar.llm.shared import small_batches
+from dubsar.llm.shared import free_name, small_batches
 
 #: Pieces a cache keeps before it starts anew.
 CACHE = 250_000
@@ -188,8 +188,9 @@ def digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 def _per_text(docs: DataFrame, text: str, fields: list, ddl: str, make, empty="") -> DataFrame:
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text and c not in {n for n, _ in fields}]
-    own = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("_text"))
-    kept = own.drop("_text").schema
+    body = free_name(docs.columns, "_text")
+    own = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias(body))
+    kept = own.drop(body).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), ddl])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dubsar.llm.bpe import CACHE, Merges
-from dubsar.llm.shared import small_batches
+from dubsar.llm.shared import free_name, small_batches
 
 # Fixed value: how the tokenizer cuts a normalised text.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -87,8 +87,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str
     small_batches(docs.sparkSession)
     new = ("n_bytes", "n_tokens", "over_limit")
     rest = [c for c in docs.columns if c != text and c not in new]
-    own = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("_text").schema), "n_bytes long, n_tokens long, over_limit boolean"])
+    body = free_name(docs.columns, "_text")
+    own = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop(body).schema), "n_bytes long, n_tokens long, over_limit boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer)
