@@ -38,7 +38,7 @@ WORDS, SIMILARITY = 5, 75
 MANTISSA = 10
 #: Registers that must match, of the share that the threshold leads one to expect less five standard errors.
 SLACK = 0.2
-ROUNDS = 3
+ROUNDS = 2
 SMALL = 48
 #: Bits of two 128-bit sketches (one bit a register) that may differ: 16 are expected at the threshold, the rest is over four standard errors.
 SKETCH_BITS = 33
@@ -202,12 +202,15 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     reps = stored(full.join(classes, ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "n", "regs", "s1", "s2"), "near-reps")
     banded = reps.select("id", F.explode(_bands(F.col("regs"))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(banded.join(shared.select("bucket"), "bucket").join(reps.select("id", "n", "s1", "s2"), "id"), "near-members")
+    met = banded.join(shared, "bucket")
+    known = met.groupBy("id").agg(F.sum("size").alias("met"))
+    members = stored(met.drop("size").join(reps.select("id", "n", "s1", "s2").join(known, "id"), "id"), "near-members")
     edges: list[DataFrame] = []
     comp: DataFrame | None = None
     for k in range(ROUNDS):
         placed = stored(members.join(_relabelled(comp, reps), "id"), "near-placed") if k else members.withColumn("comp", F.col("id"))
-        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
+        # First who meets most others: in all its buckets a group then has few centres, near its middle.
+        order = -F.col("met") if k == 0 else F.xxhash64("id", F.lit(k))
         open_ = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "comp", "n", "s1", "s2")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
         if k:
             open_ = open_.where("lo <> hi and size > 2")
