@@ -240,11 +240,13 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def _within(placed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different components that share a small bucket, or two bands where the first is large.
 
+    Pairs with a bucket's first centre have been compared before.
+
     In large buckets most pairs that remain lie just below the threshold. A shingle
     that no other document in an open large bucket has can be in no intersection, so
     m, the rest of a document's set, bounds its similarity to every partner there.
     """
-    sizes = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    sizes = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((-F.col("met")).alias("o"), "id"))["id"].alias("first"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
     here = stored(placed.join(sizes.select("bucket", "first", "size"), "bucket"), "near-open")
     own = ["id", "comp", "n", "s1", "s2"]
     few = here.where(F.col("size") <= SMALL).select("bucket", "first", *own, F.col("n").alias("m"))
