@@ -319,22 +319,23 @@ def extract(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFram
         offices(F.col("persons"), "source", "deliverer").alias("source_office"), offices(F.col("persons"), "receiver", "sealer").alias("receiver_office"),
     )
     entries = F.col("_animals.entries")
-    counts = lambda keep: total(F.filter(entries, keep), lambda a: a["count"])
-    done = more.select(
-        *given.columns, F.col("id_text").alias("tablet_id"), "lines", "transaction_type", "persons", F.col("_fill.entries").alias("animals"),
-        total(entries, lambda a: a["count"]).alias("total_animals"), counts(lambda a: ~a["damaged"]).alias("total_animals_certain"), counts(lambda a: a["damaged"]).alias("total_animals_uncertain"),
-        "edge_total", F.col("_animals.has_summary").alias("has_summary_line"), F.col("_animals.has_sza3").alias("has_sza3_bi_ta"),
-        "month_name", F.col("_date.ruler").alias("ruler"), F.col("_date.regnal_year").alias("regnal_year"),
+    sum_of = lambda keep: total(F.filter(entries, keep), lambda a: a["count"])
+    all_, uncertain = total(entries, lambda a: a["count"]), sum_of(lambda a: a["damaged"])
+    dated = (F.col("month_name") != "") | (F.col("year_name") != "")
+    score = atf.score_label(F.col("has_transliteration"), F.col("transaction_type"), F.size("persons"), F.size(entries), dated, F.col("damage.preservation"), uncertain, all_)
+    columns = [
+        *(F.col(c) for c in given.columns), F.col("id_text").alias("tablet_id"), F.col("lines"), F.col("transaction_type"), F.col("persons"), F.col("_fill.entries").alias("animals"),
+        all_.alias("total_animals"), sum_of(lambda a: ~a["damaged"]).alias("total_animals_certain"), uncertain.alias("total_animals_uncertain"),
+        F.col("edge_total"), F.col("_animals.has_summary").alias("has_summary_line"), F.col("_animals.has_sza3").alias("has_sza3_bi_ta"),
+        F.col("month_name"), F.col("_date.ruler").alias("ruler"), F.col("_date.regnal_year").alias("regnal_year"),
         F.when(F.col("_date.month_number") != 0, F.col("_date.month_number")).otherwise(lookup(F.col("month_name"), L.MONTHS, 0)).cast("long").alias("month_number"),
-        "day", "year_name", F.col("_destination.destination").alias("destination"), F.col("_destination.category").alias("destination_category"),
-        "divine_recipients", "source_office", "receiver_office", "damage",
+        F.col("day"), F.col("year_name"), F.col("_destination.destination").alias("destination"), F.col("_destination.category").alias("destination_category"),
+        F.col("divine_recipients"), F.col("source_office"), F.col("receiver_office"), F.col("damage"),
         F.col("_fill.resolved").alias("total_animals_resolved"), F.col("_fill.status").alias("total_animals_status"), F.col("_fill.method").alias("imputation_method"), F.col("_fill.target").alias("imputation_target"),
-        "has_transliteration",
-    )
-    score = atf.score_label(F.col("has_transliteration"), F.col("transaction_type"), F.size("persons"), F.size("animals"), (F.col("month_name") != "") | (F.col("year_name") != ""), F.col("damage.preservation"), F.col("total_animals_uncertain"), F.col("total_animals"))
-    full = done.withColumn("extraction_score", score)
+        F.col("has_transliteration"), score.alias("extraction_score"),
+    ]
     # A generator is a wall that no filter passes: pushed below, it would repeat whole extractors in its condition.
-    return full.select(F.inline_outer(F.array(F.struct(*full.columns))))
+    return more.select(F.inline_outer(F.array(F.struct(*columns))))
 
 
 def atf_empty_damage() -> Column:
