@@ -66,8 +66,9 @@ def best_paths(nodes: DataFrame, branches: int = 1, most: int = 40) -> DataFrame
         if not state.where("hop is not null").limit(1).count():
             break
         far = state.select("tree", F.col("node").alias("hop"), F.col("hop").alias("hop2"), F.col("dist").alias("dist2"), F.col("total").alias("total2"))
-        joined = state.join(far, ["tree", "hop"], "left")
-        state = stored(joined.select("tree", "node", F.col("hop2").alias("hop"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "chat-hops")
+        climbing = state.where("hop is not null").join(far, ["tree", "hop"])  # nodes that have met their root rest
+        moved = climbing.select("tree", "node", F.col("hop2").alias("hop"), (F.col("dist") + F.col("dist2")).alias("dist"), (F.col("total") + F.col("total2")).alias("total"))
+        state = stored(moved.unionByName(state.where("hop is null")), "chat-hops")
         levels.append(state.select("tree", "node", "hop"))
     inner = edges.where("hop is not null").select("tree", F.col("hop").alias("node")).distinct()
     leaves = state.where("hop is null").join(inner, ["tree", "node"], "left_anti")
