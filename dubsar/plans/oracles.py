@@ -108,6 +108,7 @@ ORACLES = {
       arg_min(period, ord) AS first_period, arg_max(period, ord) AS last_period, min(ord) AS first_year_idx, max(ord) AS last_year_idx,
       any_value(CASE {_OFFICE} WHEN 'C' THEN 'Chief Official' WHEN 'D' THEN 'Disbursal Office' WHEN 'S' THEN 'Shepherds Office' ELSE 'Dead Animals Office' END) AS office_label FROM mention_ GROUP BY official"""),
     "official_edges": base(f", {_OFFICIALS} SELECT s.official AS source, r.official AS target, count(*) AS n FROM mention_ s JOIN mention_ r USING (tablet_id) WHERE s.role = 'source' AND r.role = 'receiver' AND s.official <> r.official GROUP BY 1, 2"),
+    "officials_by_period": base(f", {_OFFICIALS} SELECT official, period, count(DISTINCT tablet_id) AS tablets FROM mention_ GROUP BY 1, 2"),
     "tenure_split": base(f", {_OFFICIALS} SELECT official, period, count(DISTINCT tablet_id) AS tablets FROM mention_ WHERE official LIKE 'in-ta-e3-a%' GROUP BY 1, 2"),
     "corpus_stats": base("""SELECT 'total_tablets' AS measure, '' AS key, count(*)::BIGINT AS value FROM done_ WHERE NOT blank UNION ALL SELECT 'total_animals', '', sum(total_animals)::BIGINT FROM done_ WHERE NOT blank
       UNION ALL SELECT 'by_transaction', tx, count(*) FROM done_ WHERE NOT blank GROUP BY tx UNION ALL SELECT 'by_confidence', confidence, count(*) FROM done_ WHERE NOT blank GROUP BY confidence"""),

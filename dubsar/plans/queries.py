@@ -144,6 +144,11 @@ def official_edges(spark, sf_dir):
     return analytics.edges(_x(spark, sf_dir)).withColumnRenamed("count", "n")
 
 
+def officials_by_period(spark, sf_dir):
+    """Of every official; tenure_split is the part of one name that two men bear."""
+    return analytics.officials_by_period(_x(spark, sf_dir))
+
+
 def tenure_split(spark, sf_dir):
     return analytics.officials_by_period(_x(spark, sf_dir)).where(F.startswith("official", F.lit("in-ta-e3-a")))
 
@@ -233,7 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
         animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, linked_pairs,
-        species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, period_list, official_activity, official_edges, tenure_split,
+        species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, period_list, official_activity, official_edges, officials_by_period, tenure_split,
         corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, glossary_categories, lemma_walk, token_roles, line_types, plain_summary, stratified_sample, field_accuracy, snapshot_changes,
     )
 }
