@@ -93,6 +93,11 @@ def flat_records(spark, sf_dir):
     return flatten.to_flat(_x(spark, sf_dir)).select("tablet_id", "designation", "ruler", "regnal_year", "month_number", "transaction_type", "source", "receiver", "intermediary", "commissioner", "sealer", "deliverer", "intermediary_title", "total_animals", "total_animals_resolved", "edge_total", "has_summary_line", "has_transliteration", "extraction_score")
 
 
+def flat_records_whole(spark, sf_dir):
+    """All 44 columns; flat_records is the part that SQL can state."""
+    return flatten.to_flat(_x(spark, sf_dir))
+
+
 def linked_pairs(spark, sf_dir):
     full = _x(spark, sf_dir)
     flat = flatten.to_flat(full.withColumn("designation", F.concat_ws("|", F.col("pos").cast("string"), "designation")))
@@ -237,7 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
-        animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, linked_pairs,
+        animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, linked_pairs,
         species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, period_list, official_activity, official_edges, officials_by_period, tenure_split,
         corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, glossary_categories, lemma_walk, token_roles, line_types, plain_summary, stratified_sample, field_accuracy, snapshot_changes,
     )
