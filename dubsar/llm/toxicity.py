@@ -103,8 +103,8 @@ class Grammar:
     def evidence(self, text: str) -> float:
         low = text.lower()
         starts = self.starts
-        words = set(low.split())
-        if not any(w[:3] in starts or w.lstrip(EDGES)[:3] in starts for w in words):
+        words = set(CLAUSE.sub(" ", low).split())  # the words that clause() sees
+        if not any(w.strip(EDGES)[:3] in starts for w in words):
             return 0.0
         return sum(self.clause([x for w in c.split() if (x := w.strip(EDGES))]) for c in CLAUSE.split(low))
 
