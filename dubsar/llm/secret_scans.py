@@ -26,6 +26,10 @@ HEX = r"[0-9a-f]{24,}"
 GITHUB = r"gh[pousr]_[A-Za-z0-9]{36,}"
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: What goes with a header that PEM finds: all up to the matching end line; where that is missing, header fields and the runs of base64 that follow.
+_BREAK = r"(?:\s|\\[nr])"
+_BASE64 = rf"(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]++={{1,2}}|[A-Za-z0-9+/]++={{0,2}}(?={_BREAK}*+(?:-----|\z)|[\x20\t]*+(?:[\r\n]|\\[nr])))"
+PEM_WHOLE = rf"-----BEGIN ([A-Z ]{{0,30}})PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END \1PRIVATE KEY-----|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_BREAK}*+{_BASE64})*+)"
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "github": GITHUB, "jwt": JWT, "pem": PEM}
@@ -65,8 +69,10 @@ def find_spans(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """The text with every finding's value replaced by a tag naming its kind."""
+    """The text with every finding's value replaced by a tag naming its kind; of a private key, of which the header is the finding, body and end line too."""
     out = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
+    # Keys go first and whole: the other kinds would break up their header and body.
+    out = F.regexp_replace(out, PEM_WHOLE, "[REDACTED-PEM]")
     for kind, pattern in KINDS.items():
         tag = f"[REDACTED-{kind.upper()}]"
         if kind == "assign":
