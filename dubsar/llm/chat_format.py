@@ -15,7 +15,7 @@ assistant text in code points.
 Defined results: null roles and texts are empty; an empty table gives no
 conversation; in conversations, rows of equal turn go by role, then text, and
 repeated rows are turns of their own; null turns come first; a node whose parent is
-unknown is a root; nodes on a cycle belong to no path; equal path scores fall to
+unknown is a root; a null conv_id or tree is one of its own, like any other; nodes on a cycle belong to no path; equal path scores fall to
 the smallest leaf; columns that are not named are dropped.
 """
 
@@ -90,6 +90,17 @@ def best_paths(nodes: DataFrame, branches: int = 1, most: int = 40) -> DataFrame
 
 def formatted(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, branch, formatted, loss_spans (start, end in code points) of every chosen path."""
+    named = _formatted(nodes.where("tree is not null"), branches)
+    nameless = nodes.where("tree is null")
+    if not nameless.limit(1).count():
+        return named
+    # A null equals nothing in joins: its tree is worked out by itself, under another name.
+    alone = _formatted(nameless.withColumn("tree", F.lit(0)), branches)
+    return named.unionByName(alone.withColumn("conv_id", F.lit(None).cast(named.schema["conv_id"].dataType)))
+
+
+def _formatted(nodes: DataFrame, branches: int) -> DataFrame:
+    """The same where no tree is null."""
     path = best_paths(nodes, branches)
     turns = path.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     role, text = escaped(F.col("role"), role=True), escaped(F.col("text"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubsar.llm.shared import small_batches
+from dubsar.llm.shared import small_batches, stored, with_key
 
 #: At similarity 0.75 up to 17 % of the bits differ, 11 of 64: over 32 with a probability below 1e-9.
 WORDS, SIMILARITY, RADIUS = 5, 0.75, 32
@@ -219,7 +219,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark passage."""
-    from dubsar.llm.shared import stored
-
-    bad = stored(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
+    keyed, key = with_key(docs, "contaminated-keyed")
+    bad = stored(contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(bad, key, "left_anti").select(docs.columns)

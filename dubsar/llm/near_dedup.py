@@ -16,8 +16,9 @@ buckets of two bands at once where a bucket is large. No partner is capped.
 
 Defined results: null or blank text has the empty set, is linked with nothing and
 is its own class; an empty table gives an empty result; rows that repeat an id
-count as copies of one document, whose smallest text stands for it; columns other
-than id and text are not read. Ties fall to the smallest id.
+count as copies of one document, whose smallest text stands for it; a row with a null
+id has the class of its exact copies with an id, else a null one; columns other than
+id and text are not read. Ties fall to the smallest id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dubsar.llm.shared import small_batches, stored
+from dubsar.llm.shared import small_batches, stored, with_key
 
 K, ROWS = 128, 4
 BANDS = K // ROWS
@@ -281,6 +282,7 @@ def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without those whose class has a smaller id: one document of each class stays."""
-    keep = near_classes(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    """docs without those whose class has a smaller id: one document of each class stays. Null ids come last, each row a document of its own."""
+    keyed, key = with_key(docs)
+    keep = near_classes(keyed, key).where(F.col(key) == F.col("component_id")).select(key)
+    return keyed.join(keep, key, "left_semi").select(docs.columns)

@@ -69,5 +69,15 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def with_key(docs: DataFrame, name: str = "near-keyed") -> tuple[DataFrame, str]:
+    """docs with a column, named second, that is doc_id; where ids are null, a number of its own beyond all ids."""
+    key = free_name(docs.columns, "_key")
+    most = docs.agg(F.max(F.col("doc_id").cast("long")).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
+    if not most["null"]:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    own = F.lit((most["most"] or 0) + 1) + F.monotonically_increasing_id()
+    return stored(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own)), name), key
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
