@@ -54,11 +54,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch can hold: texts may be long."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now > rows or now <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes: texts may be long."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", str(most)).removesuffix("b"))
+        if now > most or now <= 0:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -70,13 +71,12 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def with_key(docs: DataFrame, name: str = "near-keyed") -> tuple[DataFrame, str]:
-    """docs with a column, named second, that is doc_id; where ids are null, a number of its own beyond all ids."""
+    """docs with a column, named second, that tells rows apart in the order of doc_id: doc_id itself, or where ids are null or repeat, the place by id, nulls last."""
     key = free_name(docs.columns, "_key")
-    most = docs.agg(F.max(F.col("doc_id").cast("long")).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
-    if not most["null"]:
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
         return docs.withColumn(key, F.col("doc_id").cast("long")), key
-    own = F.lit((most["most"] or 0) + 1) + F.monotonically_increasing_id()
-    return stored(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own)), name), key
+    return stored(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
