@@ -10,8 +10,8 @@ the vocabulary of the corpus.
 
 Defined results: null is the empty text, which has no tokens; a pair of equal rank
 merges at its leftmost place first; repeated rows and other columns pass unchanged,
-an input column that an output column shadows is dropped; an empty table gives an
-empty result. One narrow stage without a shuffle.
+an input column that an output column shadows, in whatever case, is dropped; an empty
+table gives an empty result. One narrow stage without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dubsar.llm.shared import free_name, small_batches
+from dubsar.llm.shared import free_name, other_columns, per_process, small_batches
 
 #: Pieces a cache keeps before it starts anew.
 CACHE = 250_000
@@ -55,17 +55,19 @@ class Merges:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.symbols = byte_symbols()
         self.bytes = {s: b for b, s in enumerate(self.symbols)}
-        # Symbols are numbered here; two adjacent ones make the key a << 20 | b.
+        # Symbols are numbered here; _pairs[a][b] is the rank at which b joins a, _made what they become.
         number: dict[str, int] = {}
         known = lambda s: number.setdefault(s, len(number))
         self._first = [known(s) for s in self.symbols]
         self._last = [known(s + self.end) for s in self.symbols]
-        self._rank: dict[int, int] = {}
+        pairs: dict[int, dict[int, int]] = {}
         self._made: list[int] = []
         for rank, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self._rank[known(left) << 20 | known(right)] = rank
+            pairs.setdefault(known(left), {})[known(right)] = rank
             self._made.append(known(left + right))
+        none: dict[int, int] = {}
+        self._pairs = [pairs.get(k, none) for k in range(len(number))]
         self._ids = [self.ids.get(s, -1) for s in number]
 
     def merge(self, sym: list[int]) -> list[int]:
@@ -73,26 +75,37 @@ class Merges:
         n = len(sym)
         if n < 2:
             return sym
-        rank, made, push = self._rank.get, self._made, heapq.heappush
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank(sym[i] << 20 | sym[i + 1])) is not None]
+        pairs, made, push, pop = self._pairs, self._made, heapq.heappush, heapq.heappop
+        # The rank of the pair that starts at each place; a queued entry of another rank is stale.
+        now = [pairs[a].get(b, -1) for a, b in zip(sym, sym[1:])]  # noqa: B905
+        now.append(-1)
+        bits = n.bit_length()  # small numbers are cheaper
+        queue = [r << bits | i for i, r in enumerate(now) if r >= 0]
         if not queue:
             return sym
         heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        mask = (1 << bits) - 1
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            top = heapq.heappop(queue)
-            i, r = top & 0xFFFFFFFF, top >> 32
-            if sym[i] < 0 or (j := after[i]) < 0 or rank(sym[i] << 20 | sym[j]) != r:
+            top = pop(queue)
+            i, r = top & mask, top >> bits
+            if now[i] != r:
                 continue  # stale: one of the two has been merged meanwhile
+            j = after[i]
             sym[i] = new = made[r]
-            sym[j] = -1
+            sym[j] = now[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if (r := rank(new << 20 | sym[k])) is not None:
-                    push(queue, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := rank(sym[h] << 20 | new)) is not None:
-                push(queue, r << 32 | h)
+                now[i] = r = pairs[new].get(sym[k], -1)
+                if r >= 0:
+                    push(queue, r << bits | i)
+            else:
+                now[i] = -1
+            if (h := before[i]) >= 0:
+                now[h] = r = pairs[sym[h]].get(new, -1)
+                if r >= 0:
+                    push(queue, r << bits | h)
         return [s for s in sym if s >= 0]
 
     def encode_word(self, raw: bytes) -> list[int]:
@@ -142,52 +155,52 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.vocabulary[i] for i in ids).decode("utf-8", "replace")
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
-        if (got := self._pieces.get(piece)) is None:
-            ids = self.encode(piece)
-            got = (",".join(map(str, ids)), len(ids), b"".join(self.vocabulary[i] for i in ids))
-            if len(piece) <= 64:
-                if len(self._pieces) >= CACHE:
-                    self._pieces.clear()
-                self._pieces[piece] = got
+    def _piece(self, piece: str, key: str | None = None) -> tuple[str, int, bytes]:
+        """Ids joined by commas, their number, what they decode to; kept under key, the piece without its blank."""
+        ids = self.encode(piece)
+        got = (",".join(map(str, ids)), len(ids), b"".join([self.vocabulary[i] for i in ids]))
+        if key is not None and len(key) <= 64:
+            if len(self._pieces) >= CACHE:
+                self._pieces.clear()
+            self._pieces[key] = got
         return got
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Tokens, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
-        if _TWO_BLANKS.search(text):
-            parts = [self._piece(text)]
+        if not text or text[0] == " " or _TWO_BLANKS.search(text):
+            ids, n, back = self._piece(text)
         else:
             first, *more = text.split(" ")
-            get = self._pieces.get
-            parts = [get(p) or self._piece(p) for p in [first, *[" " + x for x in more]] if p]
-        ids = ",".join([p[0] for p in parts])
-        back = b"".join([p[2] for p in parts])
+            get, piece = self._pieces.get, self._piece
+            parts = [piece(first), *[get(x) or piece(" " + x, x) for x in more]]
+            each, counts, raw = zip(*parts)  # noqa: B905
+            ids, n, back = ",".join(each), sum(counts), b"".join(raw)
         try:
             back.decode()
         except UnicodeDecodeError:
             back = back.decode("utf-8", "replace").encode()
-        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with token_ids array<int> in place of text."""
-    return _per_text(docs, text, [("token_ids", pa.list_(pa.int32()))], "token_ids array<int>", lambda: (c := Codec(tokenizer)) and (lambda t: (c.encode(t),)))
+    return _per_text(docs, text, [("token_ids", pa.list_(pa.int32()))], "token_ids array<int>", lambda: (c := per_process(Codec, tokenizer)) and (lambda t: (c.encode(t),)))
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
     """docs with text, the vocabulary strings of ids concatenated."""
-    return _per_text(docs, ids, [("text", pa.string())], "text string", lambda: (c := Codec(tokenizer)) and (lambda t: (c.decode(t),)), empty=())
+    return _per_text(docs, ids, [("text", pa.string())], "text string", lambda: (c := per_process(Codec, tokenizer)) and (lambda t: (c.decode(t),)), empty=())
 
 
 def digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 in place of text: encodes, then decodes the ids."""
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return _per_text(docs, text, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Codec(tokenizer).digest)
+    return _per_text(docs, text, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: per_process(Codec, tokenizer).digest)
 
 
 def _per_text(docs: DataFrame, text: str, fields: list, ddl: str, make, empty="") -> DataFrame:
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text and c not in {n for n, _ in fields}]
+    rest = other_columns(docs.columns, text, [n for n, _ in fields])
     body = free_name(docs.columns, "_text")
     own = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias(body))
     kept = own.drop(body).schema

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, in local mode (tests) alone."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder: on a cluster tables must lie where all executors see them")
         at = "file://" + tempfile.mkdtemp(prefix="dubsar-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -62,6 +66,24 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) ->
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+_MADE: dict = {}
+
+
+def per_process(make: Callable, path: str):
+    """make(path), kept for the life of the Python worker as long as the file stays the same: many small tasks share one."""
+    found = os.stat(path)
+    key = (make.__module__, make.__qualname__, path, found.st_size, found.st_mtime_ns)
+    if key not in _MADE:
+        _MADE[key] = make(path)
+    return _MADE[key]
+
+
+def other_columns(columns: list[str], text: str, new: Iterable[str]) -> list[str]:
+    """Columns that stay beside new ones: neither text nor, in whatever case, of a new one's name."""
+    shadowed = {n.lower() for n in new}
+    return [c for c in columns if c != text and c.lower() not in shadowed]
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, or name with as many underscores after it as make it new among columns."""
     taken = {c.lower() for c in columns}

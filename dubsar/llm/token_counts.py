@@ -1,16 +1,17 @@
 """Token counts with a whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proved once, when a worker
-starts: each is cut into symbols and merged, and only those that end as the one
-token they name enter the table. A pre-token in that table counts one without any
-merging; the rest are merged.
+Which vocabulary strings encode alone as one token is proved once, offline, before a
+job starts: each is cut into symbols and merged, and only those that end as the one
+token they name enter the table, which is then sent to the workers (it is no larger
+than the vocabulary). A pre-token in that table counts one without any merging; the
+rest are merged.
 
 The tokenizer normalises to NFC, lower-cases character by character and drops
 white space; special strings inside a text are one token each.
 
 Defined results: null is the empty text with no bytes and no tokens; an empty table
 gives an empty result; repeated rows and other columns pass unchanged, an input
-column that an output column shadows is dropped; ties cannot occur. No shuffle.
+column that an output column shadows, in whatever case, is dropped; ties cannot occur. No shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dubsar.llm.bpe import CACHE, Merges
-from dubsar.llm.shared import free_name, small_batches
+from dubsar.llm.shared import free_name, other_columns, per_process, small_batches
 
 # Fixed value: how the tokenizer cuts a normalised text.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -35,13 +36,13 @@ LIMIT = 2048
 def whole_tokens(merges: Merges) -> set[bytes]:
     """What the vocabulary strings with an end mark stand for, if it merges into that one token."""
     end = merges.end
-    proved = set()
+    found = set()
     for s, i in merges.ids.items():
         body = s.removesuffix(end)
         if s.endswith(end) and body and all(c in merges.bytes for c in body):
             if merges.encode_word(raw := bytes(merges.bytes[c] for c in body)) == [i]:
-                proved.add(raw)
-    return proved
+                found.add(raw)
+    return found
 
 
 def lowered(text: str) -> str:
@@ -49,10 +50,17 @@ def lowered(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+def proved(path: str) -> frozenset[bytes]:
+    """The table of a tokenizer file."""
+    return frozenset(whole_tokens(Merges(path)))
+
+
 class Counter:
+    """Counts texts; whole is the table proved beforehand."""
+
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
-        self.whole = whole_tokens(self.merges)
+        self.whole: frozenset[bytes] = frozenset()
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")")
         self._pieces: dict[bytes, int] = {}
         self._words: dict[bytes, int] = {}
@@ -86,13 +94,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str
     """docs with n_bytes, n_tokens and over_limit in place of text."""
     small_batches(docs.sparkSession)
     new = ("n_bytes", "n_tokens", "over_limit")
-    rest = [c for c in docs.columns if c != text and c not in new]
+    rest = other_columns(docs.columns, text, new)
+    table = docs.sparkSession.sparkContext.broadcast(per_process(proved, tokenizer))
     body = free_name(docs.columns, "_text")
     own = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop(body).schema), "n_bytes long, n_tokens long, over_limit boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = per_process(Counter, tokenizer)
+        counter.whole = table.value
         for b in batches:
             raw = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
             n = [counter.count(t) for t in raw]
