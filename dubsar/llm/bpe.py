@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dubsar.llm.shared import free_name, other_columns, per_process, small_batches
 
-#: Pieces a cache keeps before it starts anew.
+#: Pieces a cache takes in before it starts anew; the filling before is kept beside it, so what recurs is never worked out twice.
 CACHE = 250_000
 # Fixed value: how a byte-level tokenizer cuts a text into pre-tokens.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -58,7 +59,8 @@ class Merges:
         # Symbols are numbered here; _pairs[a][b] is the rank at which b joins a, _made what they become.
         number: dict[str, int] = {}
         known = lambda s: number.setdefault(s, len(number))
-        self._first = [known(s) for s in self.symbols]
+        for s in self.symbols:  # a byte's symbol has the byte as its number
+            known(s)
         self._last = [known(s + self.end) for s in self.symbols]
         pairs: dict[int, dict[int, int]] = {}
         self._made: list[int] = []
@@ -108,14 +110,21 @@ class Merges:
                     push(queue, r << bits | h)
         return [s for s in sym if s >= 0]
 
+    def symbols_of(self, raw: bytes) -> list[int]:
+        """Symbols of one pre-token, merged."""
+        sym = list(raw)
+        if sym and self.end:
+            sym[-1] = self._last[sym[-1]]
+        return self.merge(sym)
+
     def encode_word(self, raw: bytes) -> list[int]:
         """Ids of one pre-token; symbols outside the vocabulary give none."""
-        first = self._first
-        sym = [first[b] for b in raw]
-        if sym:
-            sym[-1] = self._last[raw[-1]]
         ids = self._ids
-        return [i for s in self.merge(sym) if (i := ids[s]) >= 0]
+        return [i for s in self.symbols_of(raw) if (i := ids[s]) >= 0]
+
+    def numbered_ids(self) -> list[int]:
+        """The id of every symbol by its number, -1 where it has none."""
+        return self._ids
 
     def strings(self) -> dict[int, bytes]:
         """Id -> the bytes it stands for."""
@@ -130,12 +139,18 @@ class Codec:
         self.merges = Merges(path)
         self.vocabulary = self.merges.strings()
         self._special = re.compile("|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))) if self.merges.special else None
+        self._mark = os.path.commonprefix(list(self.merges.special))  # no special string without it
         self._words: dict[str, list[int]] = {}
-        self._pieces: dict[str, tuple[str, int, bytes]] = {}
+        self._pieces: dict[str, tuple[str, bytes]] = {}
+        self._before: dict[str, tuple[str, bytes]] = {}
+        #: Id in decimal and vocabulary string of every symbol; None where a symbol has no id.
+        known = [(str(i), self.vocabulary[i]) if i >= 0 and i in self.vocabulary else None for i in self.merges.numbered_ids()]
+        self._say, self._raw = [k and k[0] for k in known], [k and k[1] for k in known]
+        self._whole = all(known)
 
     def _word(self, word: str) -> list[int]:
         if (ids := self._words.get(word)) is None:
-            if len(self._words) >= CACHE:
+            if 2 * len(self._words) >= CACHE:
                 self._words.clear()
             ids = self._words[word] = self.merges.encode_word(word.encode())
         return ids
@@ -143,7 +158,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         at = 0
-        for m in self._special.finditer(text) if self._special else ():
+        for m in self._special.finditer(text) if self._special and self._mark in text else ():
             for w in CUT.findall(text[at : m.start()]):
                 out += self._word(w)
             out.append(self.merges.special[m[0]])
@@ -155,31 +170,37 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.vocabulary[i] for i in ids).decode("utf-8", "replace")
 
-    def _piece(self, piece: str, key: str | None = None) -> tuple[str, int, bytes]:
-        """Ids joined by commas, their number, what they decode to; kept under key, the piece without its blank."""
-        ids = self.encode(piece)
-        got = (",".join(map(str, ids)), len(ids), b"".join([self.vocabulary[i] for i in ids]))
+    def _piece(self, piece: str, key: str | None = None) -> tuple[str, bytes]:
+        """Ids joined by commas and what they decode to; kept under key, the piece without its blank."""
+        if key and (got := self._before.get(key)):
+            pass
+        elif self._whole and key and key.isalpha():  # one pre-token, beyond doubt
+            sym = self.merges.symbols_of(piece.encode())
+            say, raw = self._say, self._raw
+            got = (",".join([say[s] for s in sym]), b"".join([raw[s] for s in sym]))
+        else:
+            ids = self.encode(piece)
+            got = (",".join(map(str, ids)), b"".join([self.vocabulary[i] for i in ids]))
         if key is not None and len(key) <= 64:
             if len(self._pieces) >= CACHE:
-                self._pieces.clear()
+                self._before, self._pieces = self._pieces, {}
             self._pieces[key] = got
         return got
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Tokens, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
         if not text or text[0] == " " or _TWO_BLANKS.search(text):
-            ids, n, back = self._piece(text)
+            ids, back = self._piece(text)
         else:
             first, *more = text.split(" ")
             get, piece = self._pieces.get, self._piece
             parts = [piece(first), *[get(x) or piece(" " + x, x) for x in more]]
-            each, counts, raw = zip(*parts)  # noqa: B905
-            ids, n, back = ",".join(each), sum(counts), b"".join(raw)
+            ids, back = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
         try:
             back.decode()
         except UnicodeDecodeError:
             back = back.decode("utf-8", "replace").encode()
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
