@@ -1,13 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every benchmark item has a 64-bit SimHash of its 5-word shingles, weighted by how
-often each occurs. In a document, windows of the item's length slide word by word;
-only windows that hold a shingle of the item are hashed, since the others have
-similarity nil, and compared with the item's fingerprint. What lies within RADIUS bits
-is confirmed by the exact weighted Jaccard of the shingles (sum of minima over sum of
-maxima) against the threshold. An index of RADIUS + 1 blocks finds all fingerprints
-within the radius where the item is not known: two that differ in at most RADIUS bits
-agree in some block whole.
+often each occurs. In a document, windows of each item length slide word by word, and
+their prints are looked up in a multi-index of that length's items: prints are cut into
+BLOCKS blocks, and two that differ in at most RADIUS bits differ in some block by at
+most RADIUS // BLOCKS bits, so looking up all values that near in every block finds all
+fingerprints within the radius. The exact weighted Jaccard of the shingles (sum of
+minima over sum of maxima) against the threshold verifies each candidate.
+
+A window that reaches the threshold holds at least 3/7 of its own and the item's
+shingles together (for 0.75), so windows with fewer shingles that occur in any item
+need no print; this bound is exact, and no item is picked by it.
+
+At similarity 0.75 a bit differs with probability 0.172, so 11 of 64 are expected; more
+than RADIUS differ with a probability of about 1e-6, which is what the index may miss.
 
 Words are runs of anything but ASCII blanks, ASCII lower-cased. An item of fewer
 than five words is one shingle, and a window must equal it. A document shorter than
@@ -16,8 +22,8 @@ an item is compared as a whole.
 Items go to the workers in blocks of bounded size; more items mean more passes, not
 more memory. Defined results: null or blank texts match nothing on either side;
 empty tables give an empty result; repeated documents each give their rows;
-repeated items are reported each under its id; of windows of equal similarity the
-first is reported; columns other than id and text are not read.
+repeated items are reported each under its id; items of null id are left out; of windows
+of equal similarity the first is reported; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from pyspark.sql import functions as F
 
 from dubsar.llm.shared import small_batches, stored, with_key
 
-#: At similarity 0.75 up to 17 % of the bits differ, 11 of 64: over 32 with a probability below 1e-9.
-WORDS, SIMILARITY, RADIUS = 5, 0.75, 32
+WORDS, SIMILARITY = 5, 0.75
+RADIUS, BLOCKS = 27, 4
 #: Characters of item text handed to the workers at once.
 BLOCK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, similarity double, start_word int, n_words int"
@@ -64,28 +70,37 @@ def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return _packed(total[size:] - total[:-size])
 
 
+def _flips(width: int, most: int) -> np.ndarray:
+    """All values of a block with at most so many bits set."""
+    values = np.arange(1 << width, dtype=np.uint64)
+    return values[np.bitwise_count(values) <= most]
+
+
 class HammingIndex:
-    """Fingerprints by block; near() returns all within RADIUS."""
+    """Fingerprints by block; near() returns all within the radius."""
 
-    def __init__(self, fingerprints: list[int], radius: int = RADIUS) -> None:
+    def __init__(self, fingerprints: list[int], radius: int = RADIUS, blocks: int = BLOCKS) -> None:
         self.prints = np.array(fingerprints, np.uint64)
         self.radius = radius
-        edges = np.linspace(0, 64, radius + 2).round().astype(int)
-        self.cuts = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.blocks = [defaultdict(list) for _ in self.cuts]
-        for k, f in enumerate(fingerprints):
-            for (shift, mask), block in zip(self.cuts, self.blocks, strict=True):
-                block[f >> shift & mask].append(k)
-
-    def within(self, k: int, fingerprint: int) -> bool:
-        """Whether near() names fingerprint k; the item is known here, so nothing need be looked up."""
-        return (int(self.prints[k]) ^ fingerprint).bit_count() <= self.radius
+        width = 64 // blocks
+        self.shifts, self.mask = [np.uint64(width * k) for k in range(blocks)], np.uint64((1 << width) - 1)
+        self.flips = _flips(width, radius // blocks)
+        self.order, self.first = [], []
+        for shift in self.shifts:  # of each block: items by value, and where each value begins
+            value = (self.prints >> shift & self.mask).astype(np.int64)
+            self.order.append(np.argsort(value, kind="stable"))
+            self.first.append(np.searchsorted(value[self.order[-1]], np.arange((1 << width) + 1)).astype(np.int32))
 
     def near(self, fingerprint: int) -> list[int]:
-        found: set[int] = set()
-        for (shift, mask), block in zip(self.cuts, self.blocks, strict=True):
-            found.update(block.get(fingerprint >> shift & mask, ()))
-        return sorted(k for k in found if (int(self.prints[k]) ^ fingerprint).bit_count() <= self.radius)
+        seen = np.zeros(len(self.prints), bool)
+        for shift, order, first in zip(self.shifts, self.order, self.first, strict=True):
+            value = ((np.uint64(fingerprint) >> shift & self.mask) ^ self.flips).astype(np.int64)
+            begin, end = first[value], first[value + 1]
+            held = begin < end
+            for lo, hi in zip(begin[held].tolist(), end[held].tolist(), strict=True):
+                seen[order[lo:hi]] = True
+        found = np.flatnonzero(seen)
+        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= self.radius].tolist()
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -101,24 +116,32 @@ class Items:
         self.ids = [i for i, _ in parsed]
         self.lengths = [len(w) for _, w in parsed]
         self.bags = [Counter(shingles(w)) for _, w in parsed]
-        prints = []
-        for _, w in parsed:
-            s = shingles(w)
-            prints.append(int(simhashes(np.array([_hash(x) for x in s], np.uint64), len(s))[0]))
-        self.index = HammingIndex(prints)
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, n in enumerate(self.lengths):
+            if n >= WORDS:
+                by_length[n].append(k)
+        #: Items of each length in words, with the index of their prints.
+        self.groups = {}
+        for n, members in sorted(by_length.items()):
+            own = [int(simhashes(np.array([_hash(x) for x in shingles(parsed[k][1])], np.uint64), n - WORDS + 1)[0]) for k in members]
+            self.groups[n] = (members, HammingIndex(own))
         self.words: dict[bytes, int] = {}
         for _, w in parsed:
             for x in w:
                 self.words.setdefault(x, len(self.words) + 1)
-        self.of: dict[tuple, list[int]] = defaultdict(list)
+        #: All shingles of items, and short items by their words.
+        self.known: set[tuple] = set()
         self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, bag in enumerate(self.bags):
             for s in bag:
-                (self.of if len(s) == WORDS else self.short[len(s)])[s].append(k)
+                if self.lengths[k] >= WORDS:
+                    self.known.add(s)
+                else:
+                    self.short[len(s)][s].append(k)
         #: A bit for each possible value of a cheap key of five word numbers: a shingle whose bit is off is in no item.
         self.bits = np.zeros(1 << 22, bool)
         self.mult = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
-        for s in self.of:
+        for s in self.known:
             self.bits[self._keys(np.array([self.words[x] for x in s], np.uint64))] = True
 
     def _keys(self, numbers: np.ndarray) -> np.ndarray:
@@ -131,56 +154,44 @@ class Items:
     def search(self, text: bytes) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) of the best window of each item that reaches the threshold."""
         words = text.lower().split()
-        hits: dict[int, list[int]] = defaultdict(list)
         numbers = np.fromiter((self.words.get(w, 0) for w in words), np.uint64, len(words))
-        if len(words) >= WORDS and self.of:
-            known = numbers > 0
-            fine = self.bits[self._keys(numbers)]
-            for k in range(WORDS):
-                fine &= known[k : len(words) - WORDS + 1 + k]
-            for p in np.flatnonzero(fine).tolist():
-                for item in self.of.get(tuple(words[p : p + WORDS]), ()):
-                    hits[item].append(p)
         found: dict[int, tuple[float, int, int]] = {}
         for size, by in self.short.items():
             for p in range(len(words) - size + 1) if numbers.any() else ():
                 for item in by.get(tuple(words[p : p + size]), ()):
                     found.setdefault(item, (1.0, p, size))
-        for item, places in hits.items():
-            if got := self._best(item, places, words):
-                found[item] = got
+        if len(words) >= WORDS and self.known:
+            here = self.bits[self._keys(numbers)]
+            for k in range(WORDS):
+                here &= numbers[k : len(words) - WORDS + 1 + k] > 0
+            for p in np.flatnonzero(here).tolist():
+                here[p] = tuple(words[p : p + WORDS]) in self.known
+            if here.any():
+                self._long(words, np.concatenate([[0], np.cumsum(here)]), found)
         return [(self.ids[k], *v) for k, v in sorted(found.items())]
 
-    def _best(self, item: int, places: list[int], words: list[bytes]) -> tuple[float, int, int] | None:
-        length, bag = min(self.lengths[item], len(words)), self.bags[item]
-        size = length - WORDS + 1
-        # A window needs this many of the item's shingles to reach the threshold.
-        least = SIMILARITY / (1 + SIMILARITY) * (size + sum(bag.values()))
-        best: tuple[float, int, int] | None = None
-        done = -1
-        at = 0
-        while at < len(places):
-            lo = max(0, places[at] - size + 1, done + 1)
-            end = at
-            while end + 1 < len(places) and places[end + 1] - places[end] < size:
-                end += 1
-            hi = min(places[end], len(words) - length)
-            run = places[at : end + 1]
-            at, done = end + 1, max(done, hi)
-            if len(run) < least or hi < lo:
-                continue
-            starts = np.arange(lo, hi + 1)
-            inside = np.searchsorted(run, starts + size) - np.searchsorted(run, starts)
-            if not (inside >= least).any():
-                continue
-            seen = [tuple(words[p : p + WORDS]) for p in range(lo, hi + size)]
-            prints = simhashes(np.array([_hash(s) for s in seen], np.uint64), size)
-            for k in np.flatnonzero(inside >= least).tolist():
-                if self.index.within(item, int(prints[k])):
-                    value = weighted_jaccard(Counter(seen[k : k + size]), bag)
-                    if value >= SIMILARITY and (best is None or value > best[0]):
-                        best = (value, lo + k, length)
-        return best
+    def _long(self, words: list[bytes], known: np.ndarray, found: dict) -> None:
+        """Windows of every item length whose known shingles may suffice; known: their running count."""
+        hashes: dict[int, int] = {}
+        n = len(words) - WORDS + 1
+        for length, (members, index) in self.groups.items():
+            size = min(length - WORDS + 1, n)
+            inside = known[size:] - known[:-size]
+            # A window needs this many of an item's shingles to reach the threshold.
+            starts = np.flatnonzero(inside >= SIMILARITY / (1 + SIMILARITY) * (size + length - WORDS + 1))
+            for p in starts.tolist():
+                seen = [tuple(words[q : q + WORDS]) for q in range(p, p + size)]
+                for q, s in enumerate(seen, p):
+                    if q not in hashes:
+                        hashes[q] = _hash(s)
+                own = simhashes(np.array([hashes[q] for q in range(p, p + size)], np.uint64), size)[0]
+                bag = None
+                for m in index.near(int(own)):
+                    item = members[m]
+                    bag = bag or Counter(seen)
+                    value = weighted_jaccard(bag, self.bags[item])
+                    if value >= SIMILARITY and (item not in found or value > found[item][0]):
+                        found[item] = (value, p, min(length, len(words)))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
