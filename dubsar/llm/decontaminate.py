@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from dubsar.llm.shared import small_batches, stored, with_key
 
 WORDS, SIMILARITY = 5, 0.75
-RADIUS, BLOCKS = 27, 4
+RADIUS, BLOCKS = 27, 8
+#: Window starts of a document that are printed at once.
+SEGMENT = 16_384
 #: Characters of item text handed to the workers at once.
 BLOCK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, similarity double, start_word int, n_words int"
@@ -70,37 +72,33 @@ def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return _packed(total[size:] - total[:-size])
 
 
-def _flips(width: int, most: int) -> np.ndarray:
-    """All values of a block with at most so many bits set."""
-    values = np.arange(1 << width, dtype=np.uint64)
-    return values[np.bitwise_count(values) <= most]
-
-
 class HammingIndex:
-    """Fingerprints by block; near() returns all within the radius."""
+    """Fingerprints by block; near() returns all within the radius.
+
+    A block has a row for each value it can have, naming the items whose block is near enough to that value.
+    """
 
     def __init__(self, fingerprints: list[int], radius: int = RADIUS, blocks: int = BLOCKS) -> None:
         self.prints = np.array(fingerprints, np.uint64)
         self.radius = radius
         width = 64 // blocks
         self.shifts, self.mask = [np.uint64(width * k) for k in range(blocks)], np.uint64((1 << width) - 1)
-        self.flips = _flips(width, radius // blocks)
-        self.order, self.first = [], []
-        for shift in self.shifts:  # of each block: items by value, and where each value begins
-            value = (self.prints >> shift & self.mask).astype(np.int64)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.first.append(np.searchsorted(value[self.order[-1]], np.arange((1 << width) + 1)).astype(np.int32))
-
-    def near(self, fingerprint: int) -> list[int]:
-        seen = np.zeros(len(self.prints), bool)
-        for shift, order, first in zip(self.shifts, self.order, self.first, strict=True):
-            value = ((np.uint64(fingerprint) >> shift & self.mask) ^ self.flips).astype(np.int64)
-            begin, end = first[value], first[value + 1]
-            held = begin < end
-            for lo, hi in zip(begin[held].tolist(), end[held].tolist(), strict=True):
-                seen[order[lo:hi]] = True
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= self.radius].tolist()
+        values = np.arange(1 << width, dtype=np.uint64)[:, None]
+        self.rows = [np.bitwise_count(values ^ (self.prints >> shift & self.mask)[None, :]) <= radius // blocks for shift in self.shifts]
+
+    def near(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in fingerprints, and the items within the radius of each."""
+        found = []
+        step = max(1, (1 << 22) // max(1, len(self.prints)))
+        for at in range(0, len(fingerprints), step):
+            part = fingerprints[at : at + step]
+            seen = np.zeros((len(part), len(self.prints)), bool)
+            for shift, rows in zip(self.shifts, self.rows, strict=True):
+                seen |= rows[(part >> shift & self.mask).astype(np.int64)]
+            which, item = np.nonzero(seen)
+            fine = np.bitwise_count(part[which] ^ self.prints[item]) <= self.radius
+            found.append((which[fine] + at, item[fine]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -164,7 +162,7 @@ class Items:
             here = self.bits[self._keys(numbers)]
             for k in range(WORDS):
                 here &= numbers[k : len(words) - WORDS + 1 + k] > 0
-            for p in np.flatnonzero(here).tolist():
+            for p in np.flatnonzero(here).tolist():  # the bits name some others, too
                 here[p] = tuple(words[p : p + WORDS]) in self.known
             if here.any():
                 self._long(words, np.concatenate([[0], np.cumsum(here)]), found)
@@ -172,26 +170,33 @@ class Items:
 
     def _long(self, words: list[bytes], known: np.ndarray, found: dict) -> None:
         """Windows of every item length whose known shingles may suffice; known: their running count."""
-        hashes: dict[int, int] = {}
         n = len(words) - WORDS + 1
+        windows = []
         for length, (members, index) in self.groups.items():
             size = min(length - WORDS + 1, n)
             inside = known[size:] - known[:-size]
             # A window needs this many of an item's shingles to reach the threshold.
             starts = np.flatnonzero(inside >= SIMILARITY / (1 + SIMILARITY) * (size + length - WORDS + 1))
-            for p in starts.tolist():
-                seen = [tuple(words[q : q + WORDS]) for q in range(p, p + size)]
-                for q, s in enumerate(seen, p):
-                    if q not in hashes:
-                        hashes[q] = _hash(s)
-                own = simhashes(np.array([hashes[q] for q in range(p, p + size)], np.uint64), size)[0]
-                bag = None
-                for m in index.near(int(own)):
-                    item = members[m]
-                    bag = bag or Counter(seen)
-                    value = weighted_jaccard(bag, self.bags[item])
+            if len(starts):
+                windows.append((size, starts, members, index))
+        if not windows:
+            return
+        first, last = min(int(w[1][0]) for w in windows), max(int(w[1][-1]) for w in windows)
+        for lo in range(first, last + 1, SEGMENT):
+            here = [(size, own, members, index) for size, starts, members, index in windows if len(own := starts[(starts >= lo) & (starts < lo + SEGMENT)])]
+            if not here:
+                continue
+            end = max(int(own[-1]) + size for size, own, _, _ in here)
+            seen = [tuple(words[q : q + WORDS]) for q in range(lo, end)]
+            signs = _signs(np.fromiter(map(_hash, seen), np.uint64, len(seen)))
+            total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
+            for size, own, members, index in here:
+                at = own - lo
+                for k, m in zip(*(x.tolist() for x in index.near(_packed(total[at + size] - total[at]))), strict=True):
+                    item, p = members[m], int(at[k])
+                    value = weighted_jaccard(Counter(seen[p : p + size]), self.bags[item])
                     if value >= SIMILARITY and (item not in found or value > found[item][0]):
-                        found[item] = (value, p, min(length, len(words)))
+                        found[item] = (value, lo + p, size + WORDS - 1)
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -198,6 +198,8 @@ def test_decontamination_by_brute_force(spark, docs, none):
 def test_hamming_index_misses_nothing():
     import random
 
+    import numpy as np
+
     rng = random.Random(1)
     prints = [rng.getrandbits(64) for _ in range(300)]
     index = decontaminate.HammingIndex(prints, 9)
@@ -205,7 +207,7 @@ def test_hamming_index_misses_nothing():
         q = rng.choice(prints)
         for b in rng.sample(range(64), rng.randint(0, 12)):
             q ^= 1 << b
-        assert index.near(q) == [k for k, p in enumerate(prints) if (p ^ q).bit_count() <= 9]
+        assert index.near(np.array([q], np.uint64))[1].tolist() == [k for k, p in enumerate(prints) if (p ^ q).bit_count() <= 9]
 
 
 def test_toxicity(spark, none):
