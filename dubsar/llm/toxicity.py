@@ -1,22 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The grammar reads word classes: insult, threat, target, negation, reported speech.
-Each class is a transducer over words; insult arcs and their weights are learned
-from labelled rows, the function words of the others are fixed. Clauses, cut at
-sentence ends, run through the composed machine: an insult or a threat opens a
-match, a target strengthens it, a negation just before or a reporting verb in the
-clause weakens it. A document's evidence is the sum over its clauses, and a
-two-parameter logistic fit turns evidence into a score.
+A lexical transducer reads words as class symbols: insult, threat, target, negation,
+report, other; a word of several classes has several readings. Insult readings and
+their weights are learned from labelled rows, the function words of the other classes
+are fixed. One transducer each for insult, threat, target, negation and reported speech
+runs over the symbols and puts a factor on what insults and threats weigh: a target up
+to some words before or after strengthens, a negation just before weakens, a reporting
+verb weakens all that follows it in the clause. The five are composed once into one
+machine of explicit states and weighted arcs; it guesses that a target follows and dies
+where none does. Clauses are cut at sentence ends; a clause weighs what its best path
+through the composed machine weighs. A document's evidence is the sum over its clauses,
+and a two-parameter logistic fit turns evidence into a score.
 
 Learning: of the labelled rows whose crc32(doc_id) mod 5 is not 0, at most
-MAX_TRAIN_ROWS, those of smallest hash. Feature counts (words and word beginnings,
-once per document) are summed per task, then by a shuffle; the arcs kept are
-bounded by MAX_ARCS. Labels, language, source and ids never enter a score.
+MAX_TRAIN_ROWS, those of smallest hash. Feature counts (words and word beginnings of
+PREFIX characters, once per document) are summed per task, then by a shuffle; of the
+features that LEAST_SEEN toxic rows hold, the MAX_ARCS most frequent become readings.
+All are parameters of the fit. Labels, language, source and ids never enter a score.
 
 Defined results: null text is empty and scores like any text without evidence;
 with no usable labels the fixed seed arcs score alone; an empty table gives an
 empty result; repeated rows score alike; of clashing labels of one document all
-count; other columns are dropped.
+count; very long texts are read whole, and evidence beyond SATURATION changes a score
+no more; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ MAX_ARCS = 5_000
 LEAST_SEEN = 5
 PREFIX = range(3, 9)
 HELD_OUT_OF = 5
+SATURATION = 40.0
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|_-+=/\\~^@“”‘’«»¿¡…"
 
 # Function words of the grammar, in the corpus's four languages.
@@ -63,15 +70,103 @@ def features(text: str) -> set[str]:
     return out
 
 
+INSULT, THREATEN, AIM, NEGATE, SAY, OTHER = SYMBOLS = "ITGNRO"
+WEIGHED = (INSULT, THREATEN)
+THREAT_WEIGHT = 0.5
+#: Words before and after a match in which a target counts; words after a negation that it covers.
+AIM_BEFORE, AIM_AFTER, NEGATED = 4, 2, 2
+AIMED, DENIED, REPORTED = 1.25, 0.6, 0.7
+
+
+class Transducer:
+    """States from 0; arcs (state, symbol) -> [(next state, factor on what the symbol weighs)]; final states."""
+
+    def __init__(self, arcs: dict[tuple, list[tuple]], final: set, start=0) -> None:
+        self.arcs, self.final, self.start = arcs, final, start
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both read the same symbols at once; factors multiply. Only reachable states are made."""
+        start = (self.start, other.start)
+        arcs: dict[tuple, list[tuple]] = {}
+        todo, seen = [start], {start}
+        while todo:
+            a, b = state = todo.pop()
+            for x in SYMBOLS:
+                both = [((p, q), f * g) for p, f in self.arcs.get((a, x), ()) for q, g in other.arcs.get((b, x), ())]
+                if both:
+                    arcs[state, x] = both
+                for to, _ in both:
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
+        return Transducer(arcs, {s for s in seen if s[0] in self.final and s[1] in other.final}, start)
+
+    def numbered(self) -> Transducer:
+        """The same with numbers for states."""
+        number: dict = {self.start: 0}
+        of = lambda s: number.setdefault(s, len(number))
+        arcs = {(of(s), x): [(of(t), f) for t, f in out] for (s, x), out in self.arcs.items()}
+        return Transducer(arcs, {of(s) for s in self.final})
+
+
+def matcher(symbol: str) -> Transducer:
+    """Insult or threat: state 1 once the symbol has been read."""
+    return Transducer({(s, x): [(1 if x == symbol else s, 1.0)] for s in (0, 1) for x in SYMBOLS}, {0, 1})
+
+
+def target() -> Transducer:
+    """State k > 0: a target was read and counts for k more words; state -k: one must come within k words."""
+    arcs: dict[tuple, list[tuple]] = {}
+    for s in range(-AIM_AFTER, AIM_BEFORE + 1):
+        for x in SYMBOLS:
+            after = max(s - 1, 0) if s >= 0 else s + 1
+            if x == AIM:
+                out = [(AIM_BEFORE, 1.0)]
+            elif x in WEIGHED:
+                out = [(after, AIMED if s else 1.0)]
+                if s == 0:
+                    out.append((-AIM_AFTER, AIMED))
+            else:
+                out = [(after, 1.0)]
+            arcs[s, x] = [(t, f) for t, f in out if not (s < 0 and t == 0)]
+    return Transducer(arcs, set(range(AIM_BEFORE + 1)))
+
+
+def negation() -> Transducer:
+    """State k: that many words are still covered by a negation."""
+    return Transducer({(s, x): [(NEGATED if x == NEGATE else max(s - 1, 0), DENIED if s and x in WEIGHED else 1.0)] for s in range(NEGATED + 1) for x in SYMBOLS}, set(range(NEGATED + 1)))
+
+
+def reported() -> Transducer:
+    """State 1: a reporting verb has been read."""
+    return Transducer({(s, x): [(1 if x == SAY else s, REPORTED if s and x in WEIGHED else 1.0)] for s in (0, 1) for x in SYMBOLS}, {0, 1})
+
+
+def machines() -> list[Transducer]:
+    return [matcher(INSULT), matcher(THREATEN), target(), negation(), reported()]
+
+
+def composed() -> Transducer:
+    first, *rest = machines()
+    for m in rest:
+        first = first.compose(m)
+    return first.numbered()
+
+
 class Grammar:
-    """The composed machine. arcs: feature -> weight."""
+    """The composed machine with its lexical readings. arcs: feature -> weight of the insult reading."""
 
     def __init__(self, arcs: dict[str, float], slope: float = 1.0, bias: float = -3.0) -> None:
         self.whole = {a[:-1]: w for a, w in arcs.items() if a.endswith("$")}
         self.begin = {a: w for a, w in arcs.items() if not a.endswith("$")}
         self.lengths = sorted({len(a) for a in self.begin})
-        self.starts = {a[:3] for a in (*self.whole, *self.begin)} | {t[:3] for t in THREAT}
-        self.threat, self.target, self.negation, self.report = (set(x) for x in (THREAT, TARGET, NEGATION, REPORT))
+        self.starts = {a[:3] for a in (*self.whole, *self.begin, *THREAT)}
+        self.classes: dict[str, list[tuple[str, float]]] = {}
+        for words, reading in ((THREAT, (THREATEN, THREAT_WEIGHT)), (TARGET, (AIM, 0.0)), (NEGATION, (NEGATE, 0.0)), (REPORT, (SAY, 0.0))):
+            for w in words:
+                self.classes.setdefault(w, []).append(reading)
+        machine = composed()
+        self.arcs, self.final = machine.arcs, machine.final
         self.slope, self.bias = slope, bias
 
     def insult(self, word: str) -> float:
@@ -83,33 +178,41 @@ class Grammar:
             best = max(best, self.begin.get(word[:k], 0.0))
         return best
 
+    def readings(self, word: str) -> list[tuple[str, float]]:
+        """Class symbols a word can be read as, with what each weighs."""
+        found = self.classes.get(word, [])
+        if word[:3] in self.starts and (weight := self.insult(word)):
+            return [(INSULT, weight), *found]
+        return found or [(OTHER, 0.0)]
+
     def clause(self, words: list[str]) -> float:
         """Weight of the best path through a clause."""
-        total, since_negation, target, report, matched = 0.0, 9, False, False, False
-        for w in words:
-            weight = self.insult(w)
-            if w in self.threat:
-                weight = max(weight, 0.5)
-            if weight:
-                matched = True
-                total += weight * (0.6 if since_negation <= 1 else 1.0)
-            target |= w in self.target
-            report |= w in self.report
-            since_negation = 0 if w in self.negation else since_negation + 1
-        if not matched:
+        read = [self.readings(w) for w in words]
+        if not any(x in WEIGHED for r in read for x, _ in r):
             return 0.0
-        return total * (1.25 if target else 1.0) * (0.7 if report else 1.0)
+        arcs = self.arcs
+        best = {0: 0.0}
+        for r in read:
+            ahead: dict[int, float] = {}
+            for state, so_far in best.items():
+                for symbol, weight in r:
+                    for to, factor in arcs.get((state, symbol), ()):
+                        value = so_far + weight * factor
+                        if value >= ahead.get(to, 0.0):
+                            ahead[to] = value
+            best = ahead
+        return max((v for s, v in best.items() if s in self.final), default=0.0)
 
     def evidence(self, text: str) -> float:
-        low = text.lower()
-        starts = self.starts
-        words = set(CLAUSE.sub(" ", low).split())  # the words that clause() sees
-        if not any(w.strip(EDGES)[:3] in starts for w in words):
-            return 0.0
-        return sum(self.clause([x for w in c.split() if (x := w.strip(EDGES))]) for c in CLAUSE.split(low))
+        total, starts = 0.0, self.starts
+        for c in CLAUSE.split(text.lower()):
+            words = [x for w in c.split() if (x := w.strip(EDGES))]
+            if any(w[:3] in starts for w in words):
+                total += self.clause(words)
+        return total
 
     def score(self, text: str) -> float:
-        z = self.slope * min(self.evidence(text), 40.0) + self.bias
+        z = self.slope * min(self.evidence(text), SATURATION) + self.bias
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -124,7 +227,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[f] for f in part], pa.int64()), pa.array([clean[f] for f in part], pa.int64())], ["feature", "t", "c"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_arcs: int = MAX_ARCS, least_seen: int = LEAST_SEEN) -> Grammar:
     """Arcs and calibration from the labelled rows that are not held out."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -139,8 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         return Grammar(SEED)
     summed = train.mapInArrow(_count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.1) / n_toxic) - F.log((F.col("c") + 0.5) / n_clean)
-    best = summed.where(F.col("t") >= LEAST_SEEN).where((F.col("t") + 0.0) / n_toxic > 20 * (F.col("c") + 0.5) / n_clean).withColumn("w", weight)
-    arcs = {r["feature"]: min(float(r["w"]), 6.0) for r in best.orderBy(F.desc("t"), F.desc("w"), "feature").limit(MAX_ARCS).collect()}
+    best = summed.where(F.col("t") >= least_seen).where((F.col("t") + 0.0) / n_toxic > 20 * (F.col("c") + 0.5) / n_clean).withColumn("w", weight)
+    arcs = {r["feature"]: min(float(r["w"]), 6.0) for r in best.orderBy(F.desc("t"), F.desc("w"), "feature").limit(max_arcs).collect()}
     grammar = Grammar(arcs or SEED)
     sent = spark.sparkContext.broadcast(grammar)
 
@@ -148,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sent.value.evidence(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "toxic"])
 
-    points = [(min(r["x"], 40.0), r["toxic"]) for r in train.mapInArrow(run, "x double, toxic int").collect()]  # at most max_rows pairs of numbers
+    points = [(min(r["x"], SATURATION), r["toxic"]) for r in train.mapInArrow(run, "x double, toxic int").collect()]  # at most max_rows pairs of numbers
     train.unpersist()
     grammar.slope, grammar.bias = _logistic(points)
     return grammar
