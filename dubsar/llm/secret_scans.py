@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dubsar.llm.shared import fresh_path, stored
+from dubsar.llm.shared import free_name, fresh_path, stored
 
 # The base kinds and their patterns.
 ASSIGN = r"""(?=[PpSsTtAa])([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,7 +70,8 @@ def find_spans(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """The text with every finding's value replaced by a tag naming its kind; of a private key, of which the header is the finding, body and end line too."""
-    out = F.replace(text, F.lit(MARK), F.lit(STAND_IN))
+    # The mark, where a text has it, becomes a code of characters that no pattern knows, and itself again at the end.
+    out = F.replace(F.replace(text, F.lit(STAND_IN), F.lit(STAND_IN + "\x03")), F.lit(MARK), F.lit(STAND_IN + "\x04"))
     # Keys go first and whole: the other kinds would break up their header and body.
     out = F.regexp_replace(out, PEM_WHOLE, "[REDACTED-PEM]")
     for kind, pattern in KINDS.items():
@@ -85,7 +86,7 @@ def redact(text: Column) -> Column:
             out = F.when(F.regexp_like(out, F.lit(pattern)), F.array_join(pieces, "")).otherwise(out)
         else:
             out = F.regexp_replace(out, pattern, tag)
-    return out
+    return F.replace(F.replace(out, F.lit(STAND_IN + "\x04"), F.lit(MARK)), F.lit(STAND_IN + "\x03"), F.lit(STAND_IN))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -127,7 +128,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger_p
     elif not _exists(spark, ledger_path):
         spark.createDataFrame([], schema).write.mode("append").parquet(ledger_path)
     led = spark.read.schema(schema).parquet(ledger_path).where(F.col("rule_version") == rule_version)
-    hits = led.where(F.size("findings") > 0).select("blob", "findings")
+    hits = led.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])  # two calls at once may both have scanned a blob
     return paths.join(hits, "blob", "left").select(path, F.hex("blob").alias("blob"), F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
 
 
@@ -145,12 +146,14 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """docs with every finding of the ledger replaced by a tag; n_chars follows where it is a column.
 
     Only rows with findings are rewritten; the ids of those rows are broadcast when
-    they are few enough, else joined by a shuffle.
+    they are few enough, else joined by a shuffle. Null ids and texts, repeated rows and
+    empty tables pass; columns of any name stay as they are.
     """
-    hit = stored(scan(docs).where(F.size("findings") > 0).select("doc_id").distinct().withColumn("_hit", F.lit(True)), "secret-hits")
+    mark, key = free_name(docs.columns, "_hit"), free_name(docs.columns, "_id")
+    hit = stored(scan(docs).where(F.size("findings") > 0).select(F.col("doc_id").alias(key)).distinct().withColumn(mark, F.lit(True)), "secret-hits")
     side = F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit
-    named = side.withColumnRenamed("doc_id", "_id")
-    marked = docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]), "left")
-    text = F.when(F.col("_hit"), redact(F.col("text"))).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("_hit"), F.length(redact(F.col("text"))).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return marked.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    new = {"text": F.when(F.col(mark), redact(F.col("text"))).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(mark), F.length(redact(F.col("text"))).cast("long")).otherwise(F.col("n_chars"))
+    return marked.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -32,7 +32,8 @@ from dubsar.llm.shared import fresh_path
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 1000
+#: Payloads up to so many bytes go into files of so many records at most, so that a file stays near 64 MB; still larger ones have a file each.
+FILES = ((1 << 16, 1000), (1 << 20, 64), (None, 1))
 READ = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string"
 
 
@@ -45,7 +46,8 @@ def base32_sha1(payload: Column) -> Column:
 
 def resolve(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame, Column]:
     """Pages with digest and size; the digests that occur twice or more with their smallest id; whether a page revisits it."""
-    sized = pages.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload").cast("long")})
+    whole = pages.select("page_id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
+    sized = whole.withColumns({"digest": base32_sha1(F.col("payload")), "size": F.octet_length("payload").cast("long")})
     heads = sized.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
     shared = heads.where("copies > 1").select("digest", "original")
     other = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
@@ -75,8 +77,14 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit("\r\n"),
         body,
     )
-    out = placed.select(record.alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    longest = pages.agg(F.max(F.octet_length("payload")).alias("n")).first()["n"] or 0
+    above = -1
+    for most, records in FILES:
+        part = placed.where((F.col("size") > above) & (F.lit(True) if most is None else F.col("size") <= most))
+        part.select(record.alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        if most is None or longest <= most:
+            break
+        above = most
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -103,7 +111,7 @@ def _page(name: str | None) -> int | None:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column(0):
-            rows = []
+            rows: list[tuple] = []
             for h, block in parse(zlib.decompress(memoryview(content.as_buffer()), 31)):
                 if h["WARC-Type"] == "response":
                     digest = base64.b32encode(hashlib.sha1(block).digest()).decode()  # noqa: S324
@@ -141,6 +149,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, "10000")
     spark.conf.set(key, "1")  # here a row is a whole file
-    headers = stored(read_archive(spark, path), "warc-headers")
-    spark.conf.set(key, before)
+    try:
+        headers = stored(read_archive(spark, path), "warc-headers")
+    finally:
+        spark.conf.set(key, before)
     return resolve_revisits(headers)
