@@ -21,7 +21,8 @@ def animal_label(a: Column) -> Column:
     return F.concat(count, F.lit("×"), a["animal"], F.when(F.size(a["qualifiers"]) > 0, F.concat(F.lit("-"), F.array_join(a["qualifiers"], "-"))).otherwise(""))
 
 
-def to_flat(extracted: DataFrame) -> DataFrame:
+def to_flat(extracted: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The 44 columns, and after them those of extracted that are carried along."""
     people = F.col("persons")
     text = lambda c: F.col(c).cast("string")
     nonzero = lambda c: F.when(F.col(c) == 0, "").otherwise(F.col(c).cast("string"))
@@ -39,7 +40,7 @@ def to_flat(extracted: DataFrame) -> DataFrame:
         "damaged_signs": text("damage.damaged_signs"),
         "broken_signs": text("damage.broken_signs"),
     }
-    return extracted.select(*(made.get(c, text(c)).alias(c) for c in FLAT_COLUMNS))
+    return extracted.select(*(made.get(c, text(c)).alias(c) for c in FLAT_COLUMNS), *carried)
 
 
 def tablet_index(flat: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dubsar.functions import atf
@@ -14,28 +18,54 @@ NAMES = "form string, canonical string, pos string, category string, attestation
 MOST_BROADCAST = 500_000
 
 
+LEMMAS = "doc string, seq long, form string, cf string, gw string, pos string, epos string"
+#: Rows that the walk hands on at once.
+WALKED = 10_000
+
+
+def _words(text: str) -> Iterator[tuple[str | None, ...]]:
+    """The fields of the word nodes of one tree, in reading order; of any depth."""
+    try:
+        root = json.loads(text)
+    except ValueError:
+        return
+    below = lambda node: node["cdl"] if isinstance(node, dict) and isinstance(node.get("cdl"), list) else []
+    open_ = [iter(below(root))]
+    while open_:
+        node = next(open_[-1], None)
+        if node is None:
+            open_.pop()
+            continue
+        if not isinstance(node, dict):
+            continue
+        f = node.get("f")
+        if node.get("node") == "l" and f is not None:
+            got = (f.get(k) if isinstance(f, dict) else None for k in ("form", "cf", "gw", "pos", "epos"))
+            yield tuple(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in got)
+        open_.append(iter(below(node)))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc", pa.string()), ("seq", pa.int64()), *((k, pa.string()) for k in ("form", "cf", "gw", "pos", "epos"))])
+    for b in batches:
+        held: list[tuple] = []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for seq, word in enumerate(_words(text or ""), 1):
+                held.append((doc, seq, *word))
+                if len(held) == WALKED:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def walk_lemmas(texts: DataFrame) -> DataFrame:
-    """doc, seq and f (variant) of the word nodes of text JSON trees (doc, json), in reading order.
+    """LEMMAS: the word nodes of text JSON trees (doc, json), in reading order.
 
-    A recursive query descends the trees level by level, carrying the path of each
-    node; sorting by path gives reading order back. Malformed JSON gives no rows.
+    Each tree is walked by itself, with no bound on depth or size, and rows go on in small
+    batches: one narrow stage, no shuffle. Malformed JSON and null give no rows.
     """
-    spark = texts.sparkSession
-    texts.select("doc", F.try_parse_json("json").alias("v")).createOrReplaceTempView("lemma_texts_")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(doc, path, v, kind) MAX RECURSION LEVEL 200 AS (
-          SELECT doc, array(CAST(c.pos AS INT)), c.value, try_variant_get(c.value, '$.node', 'string')
-          FROM lemma_texts_, LATERAL variant_explode(try_variant_get(v, '$.cdl', 'variant')) c
-          UNION ALL
-          SELECT doc, concat(path, array(CAST(c.pos AS INT))), c.value, try_variant_get(c.value, '$.node', 'string')
-          FROM walk, LATERAL variant_explode(try_variant_get(v, '$.cdl', 'variant')) c
-        )
-        SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY path) AS seq, f.form, f.cf, f.gw, f.pos, f.epos
-        FROM (SELECT doc, path, from_json(to_json(try_variant_get(v, '$.f', 'variant')), 'form string, cf string, gw string, pos string, epos string') AS f
-              FROM walk WHERE kind = 'l' AND try_variant_get(v, '$.f', 'variant') IS NOT NULL)
-        """
-    )
+    return texts.select(F.col("doc").cast("string"), "json").mapInArrow(_walk, LEMMAS)
 
 
 def build_names(lemmas: DataFrame, order: tuple[str, ...] = ("doc", "seq")) -> DataFrame:
@@ -89,13 +119,16 @@ def look_up(named: DataFrame, names: DataFrame, name: str = "name") -> DataFrame
     return named.join(hit, named[name] == hit["_name"], "left").drop("_name").select(*named.columns, "e.*")
 
 
-def normalize_persons(extracted: DataFrame, names: DataFrame) -> DataFrame:
-    """extracted with canonical names and name types filled in where the dictionary knows a person."""
-    people = extracted.select("tablet_id", F.posexplode("persons").alias("seq", "p"))
-    found = look_up(people.select("tablet_id", "seq", "p", F.col("p.name").alias("name")), names)
+def normalize_persons(extracted: DataFrame, names: DataFrame, row: str = "pos") -> DataFrame:
+    """extracted with canonical names and name types filled in where the dictionary knows a person.
+
+    row: the column that tells tablets apart; ids may repeat, the place in the input does not.
+    """
+    people = extracted.select(F.col(row).alias("_row"), F.posexplode("persons").alias("seq", "p"))
+    found = look_up(people.select("_row", "seq", "p", F.col("p.name").alias("name")), names)
     filled = F.struct("p.name", "p.role", "p.title", F.coalesce("canonical", F.col("p.normalized_name")).alias("normalized_name"), F.coalesce("pos", F.col("p.name_type")).alias("name_type"))
-    again = found.groupBy("tablet_id").agg(F.sort_array(F.collect_list(F.struct("seq", filled.alias("p")))).alias("_p")).select("tablet_id", F.transform("_p", lambda x: x["p"]).alias("_persons"))
-    joined = extracted.join(again, "tablet_id", "left")
+    again = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("seq", filled.alias("p")))).alias("_p")).select("_row", F.transform("_p", lambda x: x["p"]).alias("_persons"))
+    joined = extracted.join(again, F.col(row) == F.col("_row"), "left")
     return joined.select(*(F.coalesce("_persons", "persons").alias("persons") if c == "persons" else c for c in extracted.columns))
 
 
@@ -118,7 +151,3 @@ def glossary_lookup(glossary: DataFrame) -> DataFrame:
     rank = Window.partitionBy("atf").orderBy(F.desc("attestations"), "idx", "i")
     each = glossary.select("idx", "attestations", "meaning", "pos", F.posexplode("forms").alias("i", "f")).withColumn("atf", F.replace(F.lower("f.atf"), F.lit("kuₓ"), F.lit("kux"))).where("atf <> ''")
     return each.withColumn("_r", F.row_number().over(rank)).where("_r = 1").select("atf", "meaning", "pos")
-
-
-def empty_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], NAMES)

@@ -20,7 +20,7 @@ def process_database(spark: SparkSession, source: str, target: str, limit: int =
 
 def find_linked_records(extracted: DataFrame, target: str, fmt: str = "csv") -> None:
     """Link double-booked records (extract() with pos) and write the ranked pairs."""
-    flat = flatten.to_flat(extracted).join(extracted.select("tablet_id", "pos"), "tablet_id")
+    flat = flatten.to_flat(extracted, carried=("pos",))
     readers.write_flat(linkage.ranked(linkage.link(flat)).drop("pos_a", "pos_b"), target, fmt)
 
 

@@ -68,6 +68,8 @@ ORACLES = {
     "transaction_types": base("SELECT tablet_id, tx AS transaction_type FROM done_"),
     "date_fields": base("SELECT tablet_id, CASE WHEN blank THEN '' ELSE month_name END AS month_name, CASE WHEN blank THEN '' ELSE d::STRING END AS day, CASE WHEN blank THEN '' ELSE 'mu en-{d}inanna ba-hun' END AS year_name FROM done_"),
     "date_codes": base("SELECT tablet_id, ruler_ AS ruler, reign_ AS regnal_year, month_ AS month_number FROM done_"),
+    "normalized_persons": base(f", {_PERSONS} SELECT tablet_id, role, name, CASE WHEN length(name) % 2 = 0 THEN upper(name) ELSE '' END AS normalized_name, CASE WHEN length(name) % 2 = 0 THEN 'PN' ELSE '' END AS name_type FROM persons_"),
+    "top_names": _NAMES + "SELECT form, canonical, attestations FROM names WHERE pos = 'PN' ORDER BY attestations DESC, form LIMIT 5",
     "persons_by_role": base(f", {_PERSONS} SELECT tablet_id, role, name, title FROM persons_"),
     "office_routing": base(f""", {_PERSONS}, branch_(name, branch) AS (VALUES {_BRANCH}), side_ AS (
       SELECT o_orderkey, CASE WHEN role IN ('source', 'deliverer') THEN 's' ELSE 'r' END AS side, branch, min(seq) AS seq FROM persons_ JOIN branch_ USING (name) WHERE role IN ('source', 'deliverer', 'receiver', 'sealer') GROUP BY 1, 2, 3)

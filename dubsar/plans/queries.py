@@ -99,10 +99,7 @@ def flat_records_whole(spark, sf_dir):
 
 
 def linked_pairs(spark, sf_dir):
-    full = _x(spark, sf_dir)
-    flat = flatten.to_flat(full.withColumn("designation", F.concat_ws("|", F.col("pos").cast("string"), "designation")))
-    carried = flat.withColumns({"pos": F.substring_index("designation", "|", 1).cast("long"), "designation": F.substring_index("designation", "|", -1)})
-    return linkage.link(carried).drop("pos_a", "pos_b")
+    return linkage.link(flatten.to_flat(_x(spark, sf_dir), carried=("pos",))).drop("pos_a", "pos_b")
 
 
 def _contrib(spark, sf_dir):
@@ -189,6 +186,22 @@ def name_lookup(spark, sf_dir):
     return names.look_up(asked, built).select("s_suppkey", "canonical", "pos", "attestations")
 
 
+def _known_people(spark, sf_dir):
+    """A dictionary over the names in the corpus: every name whose length is even is known, by its capitals."""
+    people = extract.person_facts(_x(spark, sf_dir)).select("name").distinct().where(F.length("name") % 2 == 0)
+    return people.select(atf.clean_form(F.col("name")).alias("form"), F.upper("name").alias("canonical"), F.lit("PN").alias("pos"), F.lit("personal_name").alias("category"), F.lit(1).cast("long").alias("attestations")).distinct()
+
+
+def normalized_persons(spark, sf_dir):
+    done = names.normalize_persons(_x(spark, sf_dir), _known_people(spark, sf_dir))
+    return done.select("tablet_id", F.explode("persons").alias("p")).select("tablet_id", "p.role", "p.name", "p.normalized_name", "p.name_type")
+
+
+def top_names(spark, sf_dir):
+    """The feature is the top of a list."""
+    return names.top_names(names.build_names(_lemmas(spark, sf_dir)), k=5).select("form", "canonical", "attestations")
+
+
 def glossary_categories(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     entries = p.select(F.col("p_partkey").alias("idx"), F.expr("'cf' || p_partkey").alias("cf"), F.expr("CASE p_partkey % 5 WHEN 0 THEN 'wild sheep' WHEN 1 THEN 'chief Scribe' WHEN 2 THEN 'box' WHEN 3 THEN '' ELSE 'barley' END").alias("gw"), F.lit("N").alias("pos"), F.col("p_size").cast("string").alias("icount"), F.array(F.struct(F.lit("šaₓ").alias("n"), F.lit("1").alias("icount")), F.struct(F.lit("udu₂").alias("n"), F.lit("5").alias("icount"))).alias("forms"))
@@ -244,6 +257,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
         animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, linked_pairs,
         species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, period_list, official_activity, official_edges, officials_by_period, tenure_split,
-        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, glossary_categories, lemma_walk, token_roles, line_types, plain_summary, stratified_sample, field_accuracy, snapshot_changes,
+        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, plain_summary, stratified_sample, field_accuracy, snapshot_changes,
     )
 }
