@@ -1,11 +1,17 @@
-"""Whole jobs: batch extraction with linkage, dictionary build, and the serving calls."""
+"""Whole jobs: batch extraction with linkage, dictionary and glossary builds, the evaluation suite, the serving calls, and steps that run only where they are due."""
 
 from __future__ import annotations
 
+import datetime
+import json
+from collections.abc import Callable
+from urllib.parse import parse_qs, quote, unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dubsar.operators import analytics, annotate, extract, flatten, issues, linkage, names
+from dubsar.functions import atf
+from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names
 from dubsar.sources import readers
 
 
@@ -31,6 +37,56 @@ def build_dictionary(spark: SparkSession, archive: str, target: str) -> DataFram
     return readers.read_names(spark, target)
 
 
+def build_glossary(spark: SparkSession, archive: str, target: str) -> DataFrame:
+    """The glossary member of a lemma archive, written as JSON lines."""
+    readers.write_json(names.build_glossary(readers.read_glossary_entries(spark, archive)), target)
+    return readers.read_glossary(spark, target)
+
+
+#: Sources of expectations that a suite takes; any other name takes all.
+SUITES = {"gold": ["manual_translation", "cdli"], "edge": ["edge_case"]}
+
+
+def run_ground_truth(spark: SparkSession, store: str, truth: str, suite: str | None = None) -> DataFrame:
+    """tablet_id, source, field, passed: a JSON store of tablets held against the expectations of a suite; tablets that the store lacks are skipped."""
+    expected = readers.read_ground_truth(spark, truth)
+    if suite in SUITES:
+        expected = expected.where(F.col("source").isin(SUITES[suite]))
+    # Only tablets with expectations are extracted.
+    asked = readers.read_store(spark, store).join(expected.select(F.col("tablet_id").alias("id_text")).distinct(), "id_text", "left_semi")
+    compared = evaluate.compare(extract.extract(asked), expected)
+    return compared.join(expected.select("tablet_id", "field", "source"), ["tablet_id", "field"])
+
+
+def report(truth: DataFrame, regression: DataFrame, path: str, day: datetime.date | None = None) -> dict:
+    """Results per tablet of run_ground_truth and, as rows tablet_id and passed, of a regression run: one JSON file beside the driver, also returned."""
+    by_tablet = truth.groupBy("tablet_id", "source").agg(F.every("passed").alias("passed"), F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("field")))).alias("failed_fields"))
+    held, stable = ([r.asDict() for r in df.orderBy("tablet_id").collect()] for df in (by_tablet, regression))
+    passed = lambda rows: sum(bool(r["passed"]) for r in rows)
+    made = {
+        "date": str(day or datetime.date.today()), "ground_truth_results": held, "regression_results": stable,
+        "summary": {"gt_pass": passed(held), "gt_total": len(held), "reg_stable": passed(stable), "reg_total": len(stable)},
+    }
+    readers.dump_report(made, path)
+    return made
+
+
+def extract_snippets(snippets: DataFrame) -> DataFrame:
+    """Rows of id_text and text, each a bare line or a whole tablet, extracted."""
+    return extract.extract(snippets.withColumn("transliteration", atf.wrapped_snippet(F.col("text"))).drop("text"))
+
+
+def run_steps(spark: SparkSession, steps: list[tuple[str, str, list[str], Callable[[], object]]], force: bool = False) -> list[str]:
+    """Run in order those steps (name, output, sources, work) whose output is missing or not younger than every source there is; their names."""
+    ran = []
+    for name, output, sources, work in steps:
+        made = readers.modified(spark, output)
+        if force or made is None or any(made <= t for s in sources if (t := readers.modified(spark, s)) is not None):
+            work()
+            ran.append(name)
+    return ran
+
+
 class Service:
     """What a front end asks for, as DataFrames over tablets that are extracted once and cached."""
 
@@ -65,3 +121,28 @@ class Service:
 
     def cell(self, animal: str, period: str, granularity: str = "year", limit: int = 100, flow: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
         return analytics.cell(self.contrib, animal, period, granularity, limit, "animal", flow, exclude)
+
+    def respond(self, url: str) -> DataFrame:
+        """The rows that a GET of url asks for, each one as JSON. An unknown route raises KeyError; an unknown tablet gives no row."""
+        at = urlsplit(url)
+        given = {k: v[0] for k, v in parse_qs(at.query).items()}
+        shared = {"flow": given.get("flow"), "exclude": tuple(x for x in given.get("exclude", "").split(",") if x)}
+        route, _, rest = at.path.removeprefix("/api/").partition("/")
+        routes: dict[str, Callable[[], DataFrame]] = {
+            "index": self.index,
+            "tablet": lambda: self.tablet(unquote(rest)),
+            "random": self.random,
+            "stats": self.stats,
+            "timeline": lambda: self.officials()[0],
+            "animals_timeline": lambda: self.animals(**shared),
+            "recipients_timeline": lambda: self.recipients(given.get("lens", "deity"), **shared),
+            "animals_cell": lambda: self.cell(given.get("animal", ""), given.get("period", ""), given.get("granularity", "year"), **shared),
+        }
+        return readers.to_json_rows(routes[route]())
+
+    def export(self, tablet_id: str, path: str) -> bool:
+        """One tablet as a JSON file beside the driver; False, and no file, where there is none."""
+        if not self.extracted.where(F.col("tablet_id") == tablet_id).limit(1).count():
+            return False
+        readers.dump_report(json.loads(self.respond(f"/api/tablet/{quote(tablet_id, safe='')}").first()["json"]), path)
+        return True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import json
 import zipfile
@@ -15,8 +16,28 @@ from pyspark.sql import types as T
 from dubsar.operators.extract import with_defaults
 
 STORE = "map<string,struct<atf:string,rul:string,yr:string,mo:string,dy:string,des:string,conf:string>>"
+GLOSSARY = "idx int, citation string, meaning string, pos string, category string, attestations long, forms array<struct<form:string,atf:string,count:long>>"
 GROUND_TRUTH = "tablets array<struct<id:string,designation:string,source:string,note:string,expected:map<string,string>>>"
 CORPUS_MEMBER, GLOSSARY_MEMBER = "corpusjson", "gloss-sux.json"
+# Fixed value: one entry of the Markdown list of known issues.
+ISSUE_ENTRY = """
+## [{day}] {ref} — {what}
+- **ATF**: `???`
+- **Problem**: {what}
+- **Status**: Open
+- **Expected**: `???`
+- **Ground truth entry added**: No
+"""
+
+
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When a file, or the youngest file of a written table, was last changed (ms); None where there is nothing. Any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    found = [x for x in store.listStatus(where) if x.isFile()] or [store.getFileStatus(where)]
+    return max(x.getModificationTime() for x in found)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -86,10 +107,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def read_names(spark: SparkSession, path: str | None) -> DataFrame:
-    """A dictionary that write_json wrote; an empty one without a path."""
+    """A dictionary that write_json wrote; an empty one without a path or where nothing lies there."""
     from dubsar.operators.names import NAMES
 
-    return spark.read.schema(NAMES).json(path) if path else spark.createDataFrame([], NAMES)
+    known = path and modified(spark, path) is not None
+    return spark.read.schema(NAMES).json(path) if known else spark.createDataFrame([], NAMES)
+
+
+def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """A glossary that write_json wrote."""
+    return spark.read.schema(GLOSSARY).json(path)
 
 
 def serving_names(names: DataFrame) -> DataFrame:
@@ -102,7 +129,13 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def dump_report(rows: list[dict], path: str) -> None:
+def dump_report(report: dict | list[dict], path: str) -> None:
     """A small finished report as one JSON file beside the driver."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=1)
+        json.dump(report, f, ensure_ascii=False, indent=2)
+
+
+def append_issue(path: str, what: str, tablet_id: str | None = None, day: datetime.date | None = None) -> None:
+    """Add an open issue to a Markdown list beside the driver."""
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(ISSUE_ENTRY.format(day=day or datetime.date.today(), ref=f"P{tablet_id}" if tablet_id else "snippet", what=what))
