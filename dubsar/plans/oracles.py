@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dubsar.functions import lexicon as L
-from dubsar.sources.synthetic import ORACLE_BASE
+from dubsar.sources.synthetic import EXPECTED, ORACLE_BASE, SPECIES
 
 
 def base(select: str) -> str:
@@ -46,6 +46,63 @@ def _timeline(source: str, category: str, least: int) -> str:
 ) SELECT *, {category} AS category FROM all_"""
 
 
+_SIDES = f"""{_PERSONS}, branch_(name, branch) AS (VALUES {_BRANCH}), side_ AS (
+  SELECT o_orderkey, CASE WHEN role IN ('source', 'deliverer') THEN 's' ELSE 'r' END AS side, branch, min(seq) AS seq FROM persons_ JOIN branch_ USING (name) WHERE role IN ('source', 'deliverer', 'receiver', 'sealer') GROUP BY 1, 2, 3
+)"""
+
+
+def _side(which: str) -> str:
+    return f"coalesce((SELECT string_agg(branch, '; ' ORDER BY seq) FROM side_ s WHERE s.o_orderkey = d.o_orderkey AND side = '{which}'), '')"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _case(of: str, table: dict[str, str], default: str) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+def _if(condition: str, value: str) -> str:
+    """value on tablets with a text that meet the condition, else ''."""
+    return f"CASE WHEN NOT blank AND {condition} THEN {value} ELSE '' END"
+
+
+#: Entries of a tablet in the order of their lines, then the total; those of lost numerals are found last.
+_IN_ORDER = "ORDER BY kind = 'lost', l_linenumber < 0, l_linenumber, l_partkey, l_suppkey, given"
+_QUALIFIERS = "list_filter([CASE WHEN dead THEN 'ba-usz2' END, nullif(qualifier, '')], lambda x: x IS NOT NULL)"
+_DATE = "CASE WHEN undated THEN '00.00.00.00' ELSE ruler || '.' || lpad(reign::STRING, 2, '0') || '.' || lpad(m::STRING, 2, '0') || '.' || lpad(d::STRING, 2, '0') END"
+
+
+def _sentences() -> str:
+    """en and nl of every tablet."""
+    office = {n: f" [{b}]" for n, (_, b) in L.OFFICE_OF.items()}
+    who = {"source": ("source", "true", ""), "deliverer": ("deliverer", "urgent AND NOT royal", ""), "receiver": ("receiver", "has_receiver", ""), "intermediary": ("receiver", "with_giri", " (dub-sar)")}
+    words = {
+        "en": ("This tablet ", "records a ", " involving", " and ", " more entries", "animals (details unclear)", ("From ", "Delivered by ", "Received by ", "Via "), "For ", "Destination: ", "Dated month ", ", day "),
+        "nl": ("Dit tablet ", "beschrijft een ", " van", " en ", " meer", "dieren (details onduidelijk)", ("Van ", "Geleverd door ", "Ontvangen door ", "Via "), "Voor ", "Bestemming: ", "Gedateerd maand ", ", dag "),
+    }
+    told, said = [], []
+    for k, (language, (this, records, of, also, more, unclear, leads, god, place, month, day)) in enumerate(words.items()):
+        name = _case("species", {t: L.GLOSS[t][k] for t in SPECIES.values()}, "species")
+        told.append(f"list(n::STRING || ' ' || {name} || CASE WHEN len({_QUALIFIERS}) > 0 THEN ' (' || array_to_string({_QUALIFIERS}, ', ') || ')' ELSE '' END {_IN_ORDER}) AS told_{language}")
+        verb = _case("tx_", {t: v[k] for t, v in L.VERBS.items()}, f"'{records}' || tx_ || '{of}'")
+        beasts = f"CASE WHEN n_told IS NULL THEN '{unclear}' ELSE array_to_string(told_{language}[1:5], ', ') || CASE WHEN n_told > 5 THEN '{also}' || (n_told - 5)::STRING || '{more}' ELSE '' END END"
+        people = [f"CASE WHEN NOT blank AND {when} THEN '{lead}' || {column} || '{title}' || {_case(column, office, repr(''))} || '.' END" for lead, (column, when, title) in zip(leads, who.values(), strict=True)]
+        said.append(
+            f"concat_ws(' ', '{this}' || {verb} || ' ' || {beasts} || '.', {', '.join(people)}, CASE WHEN NOT blank AND deity <> '' THEN '{god}god ' || replace(deity, '{{d}}', '') || '.' END, "
+            f"CASE WHEN {_DESTINATION} <> '' THEN '{place}' || {_DESTINATION} || '.' END, CASE WHEN NOT blank THEN '{month}' || month_name || '{day}' || d || '.' END) AS {language}"
+        )
+    return f", told_ AS (SELECT k, count(*) AS n_told, {', '.join(told)} FROM entries_ GROUP BY k) SELECT tablet_id, {', '.join(said)} FROM (SELECT *, CASE tx WHEN '' THEN 'unknown transaction' ELSE tx END AS tx_ FROM done_) LEFT JOIN told_ ON k = o_orderkey"
+
+
+#: What tablets say in each tested field.
+_SAID = {
+    "transaction_type": "tx", "source_office": _side("s"), "receiver_office": _side("r"), "ruler": "ruler_", "destination": _DESTINATION, "destination_category": _KIND,
+    "source": _if("true", "source"), "receiver": _if("has_receiver", "receiver"), "commissioner": _if("with_maszkim", "deliverer"), "intermediary": _if("with_giri", "receiver"), "deliverer": _if("urgent AND NOT royal", "deliverer"),
+    "total_animals": "total_animals::STRING", "month_number": "month_::STRING", "regnal_year": "reign_::STRING", "divine_recipients": _if("true", "deity"),
+}
+
 _SHIPPED = "SELECT {key} AS key, n, period AS period_y, period || '.' || lpad(month_::STRING, 2, '0') AS period_m FROM shipped_ WHERE {key} <> ''"
 _NAMES = r"""WITH t AS (
   SELECT c_custkey AS seq, 'lu₂-ša' || (c_custkey % 13) AS form, 'Lu' || (c_nationkey % 4) AS canonical,
@@ -71,10 +128,7 @@ ORACLES = {
     "normalized_persons": base(f", {_PERSONS} SELECT tablet_id, role, name, CASE WHEN length(name) % 2 = 0 THEN upper(name) ELSE '' END AS normalized_name, CASE WHEN length(name) % 2 = 0 THEN 'PN' ELSE '' END AS name_type FROM persons_"),
     "top_names": _NAMES + "SELECT form, canonical, attestations FROM names WHERE pos = 'PN' ORDER BY attestations DESC, form LIMIT 5",
     "persons_by_role": base(f", {_PERSONS} SELECT tablet_id, role, name, title FROM persons_"),
-    "office_routing": base(f""", {_PERSONS}, branch_(name, branch) AS (VALUES {_BRANCH}), side_ AS (
-      SELECT o_orderkey, CASE WHEN role IN ('source', 'deliverer') THEN 's' ELSE 'r' END AS side, branch, min(seq) AS seq FROM persons_ JOIN branch_ USING (name) WHERE role IN ('source', 'deliverer', 'receiver', 'sealer') GROUP BY 1, 2, 3)
-      SELECT tablet_id, coalesce((SELECT string_agg(branch, '; ' ORDER BY seq) FROM side_ s WHERE s.o_orderkey = d.o_orderkey AND side = 's'), '') AS source_office,
-             coalesce((SELECT string_agg(branch, '; ' ORDER BY seq) FROM side_ s WHERE s.o_orderkey = d.o_orderkey AND side = 'r'), '') AS receiver_office FROM done_ d"""),
+    "office_routing": base(f", {_SIDES} SELECT tablet_id, {_side('s')} AS source_office, {_side('r')} AS receiver_office FROM done_ d"),
     "animal_qualifiers": base("SELECT qualifier, count(*) AS n FROM (SELECT qualifier FROM entries_ WHERE qualifier <> '' UNION ALL SELECT 'ba-usz2' FROM entries_ WHERE dead) GROUP BY 1"),
     "implicit_and_broken_entries": base("SELECT k::STRING AS tablet_id, count(*) FILTER (kind = 'implied') AS n_implied, count(*) FILTER (kind = 'lost') AS n_broken FROM entries_ WHERE kind IN ('implied', 'lost') GROUP BY k"),
     "summary_mode": base("SELECT tablet_id, total_animals, total_animals - certain AS total_animals_uncertain FROM done_ WHERE with_summary AND total > 0 AND NOT blank"),
@@ -87,6 +141,24 @@ ORACLES = {
       CASE WHEN with_maszkim AND NOT blank THEN deliverer ELSE '' END AS commissioner, CASE WHEN with_kiszib AND NOT blank THEN receiver ELSE '' END AS sealer, CASE WHEN urgent AND NOT royal AND NOT blank THEN deliverer ELSE '' END AS deliverer,
       CASE WHEN with_giri AND NOT blank THEN 'dub-sar' ELSE '' END AS intermediary_title, total_animals::STRING AS total_animals, CASE WHEN status = 'incomplete' THEN 'NaN' ELSE resolved::STRING END AS total_animals_resolved,
       CASE WHEN edge = 0 THEN '' ELSE edge::STRING END AS edge_total, CASE WHEN with_summary AND total > 0 AND NOT blank THEN '1' ELSE '0' END AS has_summary_line, CASE WHEN blank THEN '0' ELSE '1' END AS has_transliteration, confidence AS extraction_score FROM done_"""),
+    "flat_records_whole": base(f""", {_SIDES}, detail_ AS (SELECT e.k, string_agg(CASE WHEN e.damaged AND d.status = 'imputed' THEN '[imp:' || (d.edge - d.certain)::STRING || ']' ELSE e.n::STRING END || '×' || species || CASE WHEN len({_QUALIFIERS}) > 0 THEN '-' || array_to_string({_QUALIFIERS}, '-') ELSE '' END, ', ' {_IN_ORDER}) AS detail,
+        any_value(species) FILTER (damaged) AS lost_species FROM entries_ e JOIN done_ d ON e.k = d.o_orderkey GROUP BY e.k)
+      SELECT tablet_id, 'T ' || tablet_id AS designation, {_DATE} AS date_of_origin, ruler_ AS ruler, CASE WHEN reign_ = 0 THEN '' ELSE reign_::STRING END AS regnal_year, CASE WHEN month_ = 0 THEN '' ELSE month_::STRING END AS month_number, {_if("true", "d.d::STRING")} AS day, tx AS transaction_type,
+      {_if("true", "source")} AS source, {_if("has_receiver", "receiver")} AS receiver, {_if("with_giri", "receiver")} AS intermediary, {_if("with_maszkim", "deliverer")} AS commissioner, {_if("with_kiszib", "receiver")} AS sealer, {_if("urgent AND NOT royal", "deliverer")} AS deliverer,
+      {_if("true", "source")} AS source_normalized, {_if("has_receiver", "receiver")} AS receiver_normalized, {_if("with_giri", "receiver")} AS intermediary_normalized, {_if("with_maszkim", "deliverer")} AS commissioner_normalized,
+      '' AS source_title, '' AS receiver_title, {_if("with_giri", "'dub-sar'")} AS intermediary_title, {_side("s")} AS source_office, {_side("r")} AS receiver_office, coalesce(detail, '') AS animals_detail,
+      total_animals::STRING AS total_animals, certain::STRING AS total_animals_certain, (total_animals - certain)::STRING AS total_animals_uncertain, CASE WHEN status = 'incomplete' THEN 'NaN' ELSE resolved::STRING END AS total_animals_resolved, status AS total_animals_status,
+      CASE WHEN status = 'imputed' THEN 'edge_total' ELSE '' END AS imputation_method, CASE WHEN status = 'imputed' THEN lost_species ELSE '' END AS imputation_target, CASE WHEN edge = 0 THEN '' ELSE edge::STRING END AS edge_total,
+      CASE WHEN with_summary AND total > 0 AND NOT blank THEN '1' ELSE '0' END AS has_summary_line, '0' AS has_sza3_bi_ta, {_if("true", "deity")} AS divine_recipients, {_DESTINATION} AS destination, {_KIND} AS destination_category, {_if("true", "month_name")} AS month_name,
+      {_if("true", "'mu en-{d}inanna ba-hun'")} AS year_name, CASE WHEN blank THEN '0' ELSE '1' END AS has_transliteration, confidence AS extraction_score, preservation::DOUBLE::STRING AS preservation_score,
+      CASE WHEN blank THEN '0' ELSE n_damaged::STRING END AS damaged_signs, CASE WHEN blank THEN '0' ELSE n_lost::STRING END AS broken_signs FROM done_ d LEFT JOIN detail_ x ON x.k = d.o_orderkey"""),
+    "tablet_index": base(f"SELECT tablet_id AS id, 'T ' || tablet_id AS designation, {_DATE} AS date, tx, total_animals AS animals, confidence FROM done_ WHERE NOT blank"),
+    "transactions_by_period": base("SELECT period, tx, count(*) AS tablets FROM (SELECT DISTINCT tablet, period_y AS period, tx FROM contrib_) GROUP BY 1, 2"),
+    "destination_category_timeline": base(_timeline(_SHIPPED.format(key=f"({_KIND})"), "key", 1)),
+    "person_summaries": base(f""", {_PERSONS} SELECT tablet_id, name, role, title, '' AS normalized, {_case("name", {n: b for n, (_, b) in L.OFFICE_OF.items()}, "''")} AS office, {_case("name", {n: o for n, (o, _) in L.OFFICE_OF.items()}, "''")} AS bureau,
+      replace(replace({_case("role", L.ROLE_EXPLANATIONS, "''")}, '{{name}}', name), '{{transaction_keyword}}', tx) AS explanation FROM persons_ JOIN done_ USING (tablet_id)"""),
+    "plain_summary": base(_sentences()),
+    "field_accuracy_whole": base(f", {_SIDES}, said_ AS (SELECT unnest([{', '.join(_text(f) for f in _SAID)}]) AS field, unnest([{', '.join(_SAID.values())}]) AS said, unnest([{', '.join(_text(EXPECTED[f]) for f in _SAID)}]) AS want FROM done_ d) SELECT field, count(*) AS tested, count(*) FILTER (lower(said) = lower(want)) AS passed FROM said_ GROUP BY field"),
     "linked_pairs": base(""", r_ AS (SELECT *, d AS day_, CASE WHEN has_receiver THEN receiver END AS rcv FROM done_ WHERE NOT blank AND ruler_ <> '' AND status <> 'incomplete' AND resolved <> 0)
       SELECT a.tablet_id AS tablet_a, b.tablet_id AS tablet_b, 'T ' || a.tablet_id AS designation_a, 'T ' || b.tablet_id AS designation_b, a.ruler_ AS ruler, a.reign_::STRING AS regnal_year, a.month_::STRING AS month, a.day_::STRING AS day,
              a.resolved AS total_animals, a.tx AS tx_a, b.tx AS tx_b, CASE WHEN a.source = b.source THEN '1' ELSE '0' END AS source_match, CASE WHEN coalesce(a.rcv = b.rcv, false) THEN '1' ELSE '0' END AS receiver_match,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dubsar.functions import atf
 from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names
 from dubsar.plans.store import kept
-from dubsar.sources.synthetic import tablets
+from dubsar.sources.synthetic import EXPECTED, tablets
 
 
 def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,14 @@ def flat_records(spark, sf_dir):
 
 
 def flat_records_whole(spark, sf_dir):
-    """All 44 columns; flat_records is the part that SQL can state."""
+    """All 44 columns; flat_records is a part of them."""
     return flatten.to_flat(_x(spark, sf_dir))
 
 
+def tablet_index(spark, sf_dir):
+    return flatten.tablet_index(flatten.to_flat(_x(spark, sf_dir)))
+
+
 def linked_pairs(spark, sf_dir):
     return linkage.link(flatten.to_flat(_x(spark, sf_dir), carried=("pos",))).drop("pos_a", "pos_b")
 
@@ -134,6 +138,14 @@ def destination_timeline(spark, sf_dir):
     return analytics.timeline(_contrib(spark, sf_dir), "destination", flow="internal")
 
 
+def destination_category_timeline(spark, sf_dir):
+    return analytics.timeline(_contrib(spark, sf_dir), "destcat")
+
+
+def transactions_by_period(spark, sf_dir):
+    return analytics.transactions_by_period(_contrib(spark, sf_dir))
+
+
 def period_list(spark, sf_dir):
     return analytics.periods(_x(spark, sf_dir))
 
@@ -229,6 +241,11 @@ def line_types(spark, sf_dir):
     return lines.groupBy(F.col("x.type").alias("type"), F.col("x.section").alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def person_summaries(spark, sf_dir):
+    people = F.transform("persons", lambda p: annotate.person_summary(p, F.col("transaction_type")))
+    return _x(spark, sf_dir).select("tablet_id", F.inline(people))
+
+
 def plain_summary(spark, sf_dir):
     return annotate.plain_summary(_x(spark, sf_dir))
 
@@ -244,6 +261,13 @@ def field_accuracy(spark, sf_dir):
     return evaluate.accuracy(evaluate.compare(x, want))
 
 
+def field_accuracy_whole(spark, sf_dir):
+    """All 15 fields, every tablet held against the same expectations; field_accuracy has some that differ by tablet."""
+    x = _x(spark, sf_dir)
+    row = lambda field, want: F.struct(F.lit(field).alias("field"), F.array(F.lit(want)).alias("want"), F.lit(field in evaluate.LIST_FIELDS).alias("as_list"))
+    return evaluate.accuracy(evaluate.compare(x, x.select("tablet_id", F.inline(F.array(*(row(f, w) for f, w in EXPECTED.items()))))))
+
+
 def snapshot_changes(spark, sf_dir):
     x = _x(spark, sf_dir)
     new = evaluate.snapshot(x)
@@ -255,8 +279,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
-        animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, linked_pairs,
-        species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, period_list, official_activity, official_edges, officials_by_period, tenure_split,
-        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, plain_summary, stratified_sample, field_accuracy, snapshot_changes,
+        animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, tablet_index, linked_pairs,
+        species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, destination_category_timeline, transactions_by_period, period_list, official_activity, official_edges, officials_by_period, tenure_split,
+        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes,
     )
 }

@@ -122,6 +122,13 @@ def tablets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What every tablet is expected to say; field_accuracy_whole holds each field of each tablet against it.
+EXPECTED = {
+    "transaction_type": "transfer", "source_office": "Chief Official", "receiver_office": "Chief Official", "ruler": "Amar-Suen", "destination": "e2-muhaldim-sze3", "destination_category": "city",
+    "source": "NA-SA6", "receiver": "na-lu", "commissioner": "ur-mes", "intermediary": "du-ga", "deliverer": "ur-mes", "total_animals": "20", "month_number": "7", "regnal_year": "0", "divine_recipients": "{d}Nanna",
+}
+
+
 #: DuckDB: the same facts from the columns alone.
 ORACLE_BASE = f"""
 items_ AS (
@@ -140,10 +147,10 @@ items_ AS (
              {", ".join(f"{v} AS {k}" for k, v in ORDER_COLUMNS.items())}
       FROM orders o LEFT JOIN lines_ ON o_orderkey = l_orderkey))
 ), entries_ AS (
-  SELECT o_orderkey AS k, l_linenumber, l_partkey, l_suppkey, CASE WHEN kind IN ('lost', 'implied') THEN 1 ELSE n END AS n, species, kind, kind IN ('lost', 'damaged') AS damaged, dead, qualifier
+  SELECT o_orderkey AS k, l_linenumber, l_partkey, l_suppkey, CASE WHEN kind IN ('lost', 'implied') THEN 1 ELSE n END AS n, n AS given, species, kind, kind IN ('lost', 'damaged') AS damaged, dead, qualifier
   FROM items_ JOIN tabs_ ON l_orderkey = o_orderkey WHERE NOT blank AND kind <> 'derived' AND (NOT with_summary OR kind = 'lost')
   UNION ALL
-  SELECT o_orderkey, -1, 0, 0, total, 'udu', 'plain', false, false, '' FROM tabs_ WHERE NOT blank AND with_summary AND total > 0
+  SELECT o_orderkey, -1, 0, 0, total, total, 'udu', 'plain', false, false, '' FROM tabs_ WHERE NOT blank AND with_summary AND total > 0
 ), sums_ AS (
   SELECT k, count(*) AS n_entries, sum(n)::BIGINT AS total_animals, coalesce(sum(n) FILTER (NOT damaged), 0)::BIGINT AS certain, count(*) FILTER (damaged) AS n_bad FROM entries_ GROUP BY k
 ), facts_ AS (
