@@ -29,11 +29,13 @@ of equal similarity the first is reported; columns other than id and text are no
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +214,17 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+_SEARCHED: dict[str, Items] = {}
+
+
+def _search_of(key: str, sent: Broadcast) -> Items:
+    """Items of the block named key, built once a Python worker; only the latest block is held."""
+    if key not in _SEARCHED:
+        _SEARCHED.clear()
+        _SEARCHED[key] = Items(sent.value)
+    return _SEARCHED[key]
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of OUT: each document and item of which some window is similar enough."""
     spark = docs.sparkSession
@@ -220,9 +233,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = spark.createDataFrame([], OUT)
     for n, block in enumerate(_blocks(items.select(F.col("item_id").cast("long"), "text"))):
         sent = spark.sparkContext.broadcast(block)
+        key = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = Items(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            search = _search_of(key, sent)
             for b in batches:
                 rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) for hit in search.search(t)]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
