@@ -126,4 +126,51 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2, "op6_chat_format": OP6, "op7_warc": OP7, "op9_near_dedup": OP9}
+#: Unsigned CRC-32 of a decimal id: eight shifts a byte.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_FIELD.format("source")} AS g, source, {_LEAF.format("text")} AS leaf,
+         CASE WHEN {CRC.format("doc_id")} % 5 = 0 THEN {_LEAF.format("low")} END AS changed
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d
+), tree AS (
+  SELECT g, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT g, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, level, i // 16, n
+), sources AS (
+  SELECT g, t.h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT g, source FROM d) JOIN tree t USING (g) WHERE t.n = 1
+), top AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM sources
+  UNION ALL
+  SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 16, n
+), beside AS (
+  SELECT p.doc_id, t.level, t.i, t.h, sign(t.i - (p.i >> (4 * t.level))) AS side
+  FROM placed p JOIN tree t ON t.g = p.g AND t.n > 1 AND t.i >> 4 = p.i >> (4 * t.level + 4)
+  UNION ALL
+  SELECT p.doc_id, 100 + t.level, t.i, t.h, sign(t.i - (s.i >> (4 * t.level)))
+  FROM placed p JOIN sources s USING (g) JOIN top t ON t.n > 1 AND t.i >> 4 = s.i >> (4 * t.level + 4)
+), steps AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k,
+         coalesce(string_agg(h, '' ORDER BY i) FILTER (side < 0), '') AS l, coalesce(string_agg(h, '' ORDER BY i) FILTER (side > 0), '') AS r
+  FROM beside GROUP BY doc_id, level
+), fold AS (
+  SELECT doc_id, 0 AS k, coalesce(changed, leaf) AS h FROM d
+  UNION ALL
+  SELECT doc_id, f.k + 1, sha256(l || h || r) FROM fold f JOIN steps s USING (doc_id) WHERE s.k = f.k + 1
+), proofs AS (
+  SELECT doc_id, string_agg(l || r, '' ORDER BY k) AS said FROM steps GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(said, '')) AS proof_sha256, last AS folded_root, last = root AS verified
+FROM placed JOIN sources USING (g) JOIN (SELECT doc_id, arg_max(h, k) AS last FROM fold GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN proofs USING (doc_id), (SELECT h AS root FROM top WHERE n = 1)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2, "op6_chat_format": OP6, "op7_warc": OP7, "op9_near_dedup": OP9, "op13_merkle_manifest": OP13}

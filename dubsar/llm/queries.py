@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dubsar.llm import bpe, chat_format, decontaminate, language_model, near_dedup, quality_rules, secret_scans, token_counts, toxicity, warc
+from dubsar.llm import bpe, chat_format, decontaminate, language_model, merkle, near_dedup, quality_rules, secret_scans, token_counts, toxicity, warc
 from dubsar.llm.shared import stored, table
 
 
@@ -80,7 +81,16 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), trusted)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(text=lower))
+    found = merkle.manifest(table(spark, sf_dir, "documents", *merkle.FIELDS), tampered=tampered)
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    proof = merkle.digest(merkle.proof(F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scans, op3_decontaminate, op4_bpe, op5_toxicity, op6_chat_format, op7_warc, op8_token_counts, op9_near_dedup, op10_language_model)
+    for f in (op1_quality_rules, op2_secret_scans, op3_decontaminate, op4_bpe, op5_toxicity, op6_chat_format, op7_warc, op8_token_counts, op9_near_dedup, op10_language_model, op13_merkle_manifest)
 }

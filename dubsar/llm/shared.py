@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
@@ -101,5 +101,24 @@ def with_key(docs: DataFrame, name: str = "near-keyed") -> tuple[DataFrame, str]
     return stored(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with _rank, the place from 0 by order (nulls first) among those of equal group, and the groups with _size.
+
+    Rows are sorted by range over all partitions and stored with their place there, so a group of any size is
+    spread over partitions; what is gathered by group is one row for each partition that holds some of it. rows
+    is read twice (once to find the ranges), so store it first where it is dear. group holds no nulls.
+    """
+    part, place, rank, size = (free_name(rows.columns, n) for n in ("_part", "_place", "_rank", "_size"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+    placed = stored(spread.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), f"{name}-placed")
+    pieces = placed.groupBy(group, part).agg(F.min(place).alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    along = Window.partitionBy(group).orderBy(part)
+    before = F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = stored(pieces.select(group, part, (before - F.col("_from")).alias("_shift"), F.sum("_rows").over(Window.partitionBy(group)).alias(size)), f"{name}-pieces")
+    found = placed.join(pieces, [group, part]).withColumn(rank, F.col(place) + F.col("_shift")).select(*rows.columns, rank, size)
+    return found, pieces.groupBy(group).agg(F.first(size).alias(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
