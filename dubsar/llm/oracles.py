@@ -130,6 +130,36 @@ FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
   lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
 
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT DISTINCT c, c - c % 20 AS base, {CRC.format("c")} % 4 AS h FROM t
+), r AS (
+  SELECT c.c, 0 AS part, p, role, text FROM c JOIN t ON t.c = c.base AND t.p <= c.h
+  UNION ALL
+  SELECT c.c, 1, p, role, text FROM c JOIN t ON t.c = c.c AND t.p > c.h
+), whole AS (
+  SELECT c.c, coalesce(list({{'role': role, 'text': text}} ORDER BY part, p) FILTER (r.c IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (c) GROUP BY c.c
+), prefixes AS (
+  SELECT c, d, turns[1:d] AS path, d = len(turns) AS last FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d]['text'], '[^\\x20\\x09-\\x0D]+')) END AS words
+  FROM prefixes GROUP BY d, path
+), kids AS (
+  SELECT a.d, a.path, count(b.path) AS k FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND b.path[1:a.d] = a.path GROUP BY ALL
+), counted AS (
+  SELECT * FROM nodes JOIN kids USING (d, path)
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, any_value(p.conv_id) AS parent_conv_id, a.n AS n_convs, a.k AS n_children,
+       count(*) FILTER (b.k = 0) AS n_leaves, sum((b.n - 1) * b.words)::BIGINT AS saved_tokens, a.ends AS ends_sha256
+FROM counted a JOIN counted b ON b.d >= a.d AND b.path[1:a.d] = a.path LEFT JOIN nodes p ON a.d > 0 AND p.d = a.d - 1 AND p.path = a.path[1:a.d - 1]
+GROUP BY a.d, a.path, a.conv_id, a.n, a.k, a.ends
+"""
+
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
 
@@ -173,4 +203,4 @@ FROM placed JOIN sources USING (g) JOIN (SELECT doc_id, arg_max(h, k) AS last FR
   LEFT JOIN proofs USING (doc_id), (SELECT h AS root FROM top WHERE n = 1)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2, "op6_chat_format": OP6, "op7_warc": OP7, "op9_near_dedup": OP9, "op13_merkle_manifest": OP13}
+ORACLES = {"op1_quality_rules": OP1, "op2_secret_scans": OP2, "op6_chat_format": OP6, "op7_warc": OP7, "op9_near_dedup": OP9, "op12_prefix_trie": OP12, "op13_merkle_manifest": OP13}
