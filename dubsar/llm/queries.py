@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dubsar.llm import bpe, chat_format, decontaminate, language_model, merkle, near_dedup, quality_rules, secret_scans, token_counts, toxicity, trie, warc
+from dubsar.llm import bpe, chat_format, decontaminate, language_id, language_model, merkle, near_dedup, quality_rules, secret_scans, token_counts, toxicity, trie, warc
 from dubsar.llm.shared import stored, table
 
 
@@ -81,6 +81,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), trusted)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, sizes = trie.placed(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return trie.prefix_trie(*trie.rebuilt(turns, sizes))
@@ -97,5 +102,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scans, op3_decontaminate, op4_bpe, op5_toxicity, op6_chat_format, op7_warc, op8_token_counts, op9_near_dedup, op10_language_model, op12_prefix_trie, op13_merkle_manifest)
+    for f in (op1_quality_rules, op2_secret_scans, op3_decontaminate, op4_bpe, op5_toxicity, op6_chat_format, op7_warc, op8_token_counts, op9_near_dedup, op10_language_model, op11_language_id, op12_prefix_trie, op13_merkle_manifest)
 }

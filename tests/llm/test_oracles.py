@@ -11,7 +11,7 @@ from tests.conftest import rows_of
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(name, spark, duck, sf_dir):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df()
+    got, want = QUERIES[name](spark, sf_dir).toArrow().to_pandas(integer_object_nulls=True), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
 
