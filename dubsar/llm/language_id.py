@@ -40,8 +40,8 @@ PER_LANGUAGE, TRAIN_ROWS = 400, 4_000
 MOST_CHARS, MOST_GRAMS = 512, 8_192
 #: Weight of the penalty, a part of the number of rows.
 RIDGE = 1e-3
-#: Characters looked at together.
-PIECE = 1 << 19
+#: Characters and texts looked at together; they bound what a task holds.
+PIECE, ROWS = 1 << 17, 64
 HELD_OUT_OF, HELD_OUT = 4, 2
 UNKNOWN = "und"
 BLANK = 1
@@ -122,7 +122,7 @@ class Spectrum:
             flat[rows[n - 1 :] + np.where(rows[n - 1 :] == rows[: len(rows) - n + 1], state, 0)] = 1
 
     def presence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """A row for each text, each length's part of length 1; and whether the text has a letter."""
+        """A row for each of some few texts, each length's part of length 1; and whether the text has a letter."""
         here = np.zeros((len(texts), self.size), np.float32)
         letters = np.zeros(len(texts), bool)
         held: list[int] = []
@@ -130,7 +130,7 @@ class Spectrum:
 
         def together() -> None:
             c = self.classes[_points("".join(f" {texts[i]} " for i in held))]
-            rows = np.repeat(np.array(held, np.int64), [len(texts[i]) + 2 for i in held])
+            rows = np.repeat(np.array(held, np.int32), [len(texts[i]) + 2 for i in held])
             keep = np.ones(len(c), bool)
             keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK) | (rows[1:] != rows[:-1])
             letters[rows[c != BLANK]] = True
@@ -164,7 +164,7 @@ class Spectrum:
                 c = np.append(c, np.uint16(BLANK))
             found |= bool((c[len(tail) :] != BLANK).any())
             c = c[np.concatenate(([True], (c[1:] != BLANK) | (c[:-1] != BLANK)))]
-            self._mark(here, np.full(len(c), i, np.int64), c)
+            self._mark(here, np.full(len(c), i, np.int32), c)
             tail = c[-(SPECTRUM - 1) :]
         return found
 
@@ -179,8 +179,11 @@ class Model:
         self.weights = np.zeros((len(landmarks), 0))
 
     def kernel(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        here, letters = self.spectrum.presence(texts)
-        return here @ self.landmarks / SPECTRUM, letters
+        values, letters = np.empty((len(texts), self.landmarks.shape[1]), np.float32), np.empty(len(texts), bool)
+        for at in range(0, len(texts), ROWS):
+            here, letters[at : at + ROWS] = self.spectrum.presence(texts[at : at + ROWS])
+            values[at : at + ROWS] = here @ self.landmarks / SPECTRUM
+        return values, letters
 
     def fit(self, values: np.ndarray, langs: list[str]) -> None:
         """One-versus-rest ridge regression on kernel values (rows by landmarks); each language weighs the same."""
@@ -212,7 +215,7 @@ def _sample(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> Model | None:
     """A model from the labelled rows (doc_id, lang, text) that are not held out; None without any."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256, 2 << 20)
     sample = _sample(docs)
     fit = sample.where(F.length("text") <= LANDMARK_CHARS).where(F.col("text").rlike(r"\p{L}"))
     landmarks = [r["text"] for r in fit.orderBy("turn", "lang").limit(LANDMARKS).collect()]  # at most LANDMARKS texts of bounded length
@@ -234,7 +237,7 @@ def learn(docs: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256, 2 << 20)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
