@@ -34,19 +34,44 @@ def raw_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), strip)
 
 
-def content_lines(text: Column) -> Column:
-    """raw and clean of each content line in order, without seals and left edges."""
+#: Blocks of a text whose lines are stripped: a seal up to the next surface, a left edge up to the next surface or note of an object.
+SEAL_BLOCK = r"(?mds)^@seal.*?(?=^@(?!column)|\z)"
+LEFT_BLOCK = r"(?mds)^@(?i:left)$.*?(?=^[@&]|\z)"
+FIRST_LEFT = r"(?mds)^@(?i:left)$(.*?)(?=^(?!@(?i:left)$)[@&]|\z)"
+BODY = r"(?Us)^(?:\d+[.'] *|\.\s+)(.*)$"
+NUMBERED_BODY = r"(?Us)^\d+[.'] *(.*)$"
 
-    def step(acc: Column, line: Column) -> Column:
-        at = starts(line, "@")
-        seal = F.when(at & ~starts(line, "@column"), starts(line, "@seal")).otherwise(acc["seal"])
-        left = F.when(at | starts(line, "&"), F.lower(line) == "@left").otherwise(acc["left"])
-        body = F.when(seal | left, "").when(matches(line, LINE_NUMBER), F.regexp_replace(line, r"(?U)^\d+[.'] *", "")).when(matches(line, r"(?U)^\.\s+"), F.regexp_replace(line, r"(?U)^\.\s+", "")).otherwise("")
-        return F.struct(seal.alias("seal"), left.alias("left"), bind(body, lambda x: F.when(x == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(x)))).alias("out"))
 
-    start = F.struct(F.lit(False).alias("seal"), F.lit(False).alias("left"), F.array().cast("array<string>").alias("out"))
-    kept = F.aggregate(raw_lines(F.coalesce(text, F.lit(""))), start, step, lambda acc: acc["out"])
-    return F.transform(kept, lambda x: F.struct(x.alias("raw"), without_damage(x).alias("clean")))
+def stripped_lines(text: Column) -> Column:
+    """A text with every line stripped."""
+    return F.array_join(raw_lines(F.coalesce(text, F.lit(""))), "\n")
+
+
+def sections(stripped: Column) -> Column:
+    """content, other, edge, n_notes of a text of stripped lines.
+
+    content: body of each content line in order and whether it has a number; other: bodies of numbered lines in
+    seals and on left edges; edge: bodies of numbered lines of the first left edge; n_notes: notes of lost lines.
+    """
+    bodies = lambda t: F.filter(F.transform(F.split(t, "\n"), lambda x: found(x, NUMBERED_BODY)), lambda x: x != "")
+    content = lambda t: F.filter(F.transform(F.split(t, "\n"), lambda x: F.struct(found(x, BODY).alias("raw"), (F.substring(x, F.lit(1), F.lit(1)) != ".").alias("numbered"))), lambda x: x["raw"] != "")
+    none = F.array().cast("array<string>")
+    blocks = lambda t, mark, pattern: F.when(has(t, mark), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+
+    def of(t: Column) -> Column:
+        def outside_seals(rest: Column) -> Column:
+            low = F.lower(rest)
+            apart = F.concat(blocks(t, "@seal", SEAL_BLOCK), F.when(has(low, "@left"), F.regexp_extract_all(rest, F.lit(LEFT_BLOCK), F.lit(0))).otherwise(none))
+            return F.struct(
+                content(F.when(has(low, "@left"), F.regexp_replace(rest, LEFT_BLOCK, "")).otherwise(rest)).alias("content"),
+                F.flatten(F.transform(apart, bodies)).alias("other"),
+                F.when(has(F.lower(t), "@left"), bodies(found(t, FIRST_LEFT))).otherwise(none).alias("edge"),
+                F.when(has(t, "$"), F.size(F.filter(F.split(t, "\n"), lambda x: starts(x, "$") & has(F.lower(x), *BROKEN_WORDS)))).otherwise(0).cast("long").alias("n_notes"),
+            )
+
+        return bind(F.when(has(t, "@seal"), F.regexp_replace(t, SEAL_BLOCK, "")).otherwise(t), outside_seals)
+
+    return bind(stripped, of)
 
 
 def numeral_sum(c: Column) -> Column:
@@ -74,48 +99,35 @@ def is_summary(clean: Column) -> Column:
     return is_category_total(clean) | is_grand_total(clean)
 
 
-def damage_report(text: Column) -> Column:
-    """total_signs, damaged_signs, broken_signs, missing_lines, preservation of a whole text, seals included."""
-    lines = raw_lines(F.coalesce(text, F.lit("")))
-    notes = F.filter(lines, lambda x: starts(x, "$") & has(F.lower(x), *BROKEN_WORDS))
-    contents = F.transform(F.filter(lines, lambda x: matches(x, LINE_NUMBER)), lambda x: F.regexp_replace(x, r"(?U)^\d+[.'] *", ""))
-    in_brackets = lambda x: total(F.regexp_extract_all(x, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda b: F.greatest(F.lit(1), F.size(words(b))).cast("long"))
-    outside = lambda x: words(F.regexp_replace(x, r"\[[^\]]*\]", ""))
-    per_line = F.transform(contents, lambda x: F.struct(in_brackets(x).alias("broken"), F.size(outside(x)).cast("long").alias("plain"), F.size(F.filter(outside(x), lambda t: has(t, "#", "?"))).cast("long").alias("damaged")))
-
-    def report(p: Column) -> Column:
-        broken, damaged, plain = (total(p, lambda x, k=k: x[k]) for k in ("broken", "damaged", "plain"))
-        counts = F.struct((broken + plain).alias("total"), damaged.alias("damaged"), broken.alias("broken"), F.size(notes).cast("long").alias("missing"))
-
-        def done(c: Column) -> Column:
-            kept = F.when(c["total"] > 0, F.greatest(F.lit(0.0), 1.0 - (c["damaged"] + c["broken"]) / c["total"])).otherwise(0.0)
-            kept = kept * F.when(c["missing"] > 0, F.greatest(F.lit(0.3), 1.0 - c["missing"] * 0.15)).otherwise(1.0)
-            return F.struct(c["total"].alias("total_signs"), c["damaged"].alias("damaged_signs"), c["broken"].alias("broken_signs"), c["missing"].alias("missing_lines"), F.bround(kept, 3).alias("preservation"))
+def line_damage(body: Column) -> Column:
+    """plain, damaged and broken signs of one line."""
+    in_brackets = total(F.regexp_extract_all(body, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda b: F.greatest(F.lit(1), F.size(words(b))).cast("long"))
+    outside = words(F.regexp_replace(body, r"\[[^\]]*\]", ""))
+    return bind(outside, lambda o: F.struct(F.size(o).cast("long").alias("plain"), F.size(F.filter(o, lambda t: has(t, "#", "?"))).cast("long").alias("damaged"), in_brackets.alias("broken")))
 
-        return bind(counts, done)
 
-    return bind(per_line, report)
+def damage_report(lines: Column, n_notes: Column) -> Column:
+    """total_signs, damaged_signs, broken_signs, missing_lines, preservation of a whole text, seals included, from line_damage of its numbered lines."""
+    broken, damaged, plain = (total(lines, lambda x, k=k: x[k]) for k in ("broken", "damaged", "plain"))
+    counts = F.struct((broken + plain).alias("total"), damaged.alias("damaged"), broken.alias("broken"), n_notes.alias("missing"))
 
+    def done(c: Column) -> Column:
+        kept = F.when(c["total"] > 0, F.greatest(F.lit(0.0), 1.0 - (c["damaged"] + c["broken"]) / c["total"])).otherwise(0.0)
+        kept = kept * F.when(c["missing"] > 0, F.greatest(F.lit(0.3), 1.0 - c["missing"] * 0.15)).otherwise(1.0)
+        return F.struct(c["total"].alias("total_signs"), c["damaged"].alias("damaged_signs"), c["broken"].alias("broken_signs"), c["missing"].alias("missing_lines"), F.bround(kept, 3).alias("preservation"))
 
-def edge_total(text: Column) -> Column:
-    """The first purely numeral line of the first left-edge block with a positive value, else 0."""
+    return bind(counts, done)
 
-    def step(acc: Column, line: Column) -> Column:
-        opens = F.lower(line) == "@left"
-        ends = acc["in"] & ~opens & starts(line, "@", "&")
-        body = F.regexp_replace(line, r"(?U)^\d+[.'] *", "")
-        keep = acc["in"] & ~acc["done"] & ~opens & ~ends & matches(line, LINE_NUMBER) & (body != "")
-        return F.struct((opens | (acc["in"] & ~ends)).alias("in"), (acc["done"] | ends).alias("done"), F.when(keep, F.concat(acc["out"], F.array(body))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(False).alias("in"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-    edge = F.aggregate(raw_lines(F.coalesce(text, F.lit(""))), start, step, lambda acc: acc["out"])
-    values = F.transform(edge, lambda x: bind(without_damage(x), lambda c: F.when((F.size(words(c)) > 0) & F.forall(words(c), lambda t: matches(t, "^" + NUMERAL) | (t == "la2")), numeral(c)).otherwise(F.lit(0).cast("long"))))
-    return F.coalesce(first(F.filter(values, lambda v: v > 0)), F.lit(0).cast("long"))
+def line_number_value(body: Column) -> Column:
+    """The value of a line that is purely numeral, else 0."""
+    pure = lambda c: (F.size(words(c)) > 0) & F.forall(words(c), lambda t: matches(t, "^" + NUMERAL) | (t == "la2"))
+    return bind(without_damage(body), lambda c: F.when(pure(c), numeral(c)).otherwise(F.lit(0).cast("long")))
 
 
 def title_in(c: Column) -> Column:
     """The first title of the list that occurs."""
-    return chain(((has(c, t), F.lit(t)) for t in L.TITLES), F.lit(""))
+    return F.coalesce(first(F.filter(strings(L.TITLES), lambda t: F.contains(c, t))), F.lit(""))
 
 
 def date_code(c: Column) -> Column:

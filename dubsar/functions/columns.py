@@ -19,6 +19,10 @@ def any_of(terms: Iterable[str]) -> str:
     return "(?:" + "|".join(q(t) for t in sorted(terms, key=len, reverse=True)) + ")"
 
 
+#: Control characters that part the entries of a literal and the two sides of one.
+_PAIR, _SIDE = "\x1e", "\x1f"
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -71,13 +75,12 @@ def chain(pairs: Iterable[tuple[Column, Column]], default: Column) -> Column:
 
 
 def lookup(c: Column, table: Mapping[str, object], default: object = "") -> Column:
-    """table[c], else default. A large table is a literal map; in a small one keys of one value share a branch."""
-    if len(set(table.values())) > 20:
-        return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[c], F.lit(default))
-    by: dict[object, list[str]] = {}
-    for k, v in table.items():
-        by.setdefault(v, []).append(k)
-    return chain(((c.isin(keys), F.lit(v)) for v, keys in by.items()), F.lit(default))
+    """table[c], else default. The table is one literal, folded to a map when the plan is made."""
+    if not table:
+        return F.lit(default)
+    pairs = F.str_to_map(F.lit(_PAIR.join(f"{k}{_SIDE}{v}" for k, v in table.items())), F.lit(_PAIR), F.lit(_SIDE))
+    value = pairs[c] if isinstance(default, str) else pairs[c].cast("int")
+    return F.coalesce(value, F.lit(default))
 
 
 def group_of(c: Column, groups: Mapping[str, list[str]], default: str = "other") -> Column:
@@ -94,7 +97,8 @@ def last(items: Column) -> Column:
 
 
 def strings(values: Iterable[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    """An array of fixed strings: one literal, folded when the plan is made."""
+    return F.split(F.lit(_PAIR.join(values)), _PAIR)
 
 
 def listed(c: Column, lower: bool = False) -> Column:

@@ -1,8 +1,9 @@
 """The tablet pipeline: one wide row of facts per text.
 
-Everything is worked out inside the row, so extraction is one narrow stage without
-a shuffle, however many texts. The lines are parsed once into an array that the
-extractors share.
+What a line says depends on the line alone, on a few kinds of lines also on the one
+before. extract_tablets() therefore works it out once for each distinct line of the
+whole corpus (a table of lines addressed by content), and joins it back to the texts.
+extract() does the same inside the row, without a shuffle: for streams and small tables.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
-from dubsar.functions.columns import any_of, bind, chain, first, found, has, last, lookup, matches, starts, strings, strip, total, words
+from dubsar.functions.columns import any_of, bind, chain, first, found, has, last, lookup, matches, q, starts, strings, strip, total, words
+from dubsar.sources.scratch import stored
 
 PERSON = "struct<name:string,role:string,title:string,normalized_name:string,name_type:string>"
 ANIMAL = "struct<count:bigint,animal:string,qualifiers:array<string>,raw:string,damaged:boolean,is_imputed:boolean,imputed_count:bigint>"
@@ -27,16 +29,20 @@ def with_defaults(df: DataFrame) -> DataFrame:
 # --- Transaction ----------------------------------------------------------
 
 
+def keyword(clean: Column) -> Column:
+    """The transaction that a line names, null if none."""
+    return F.when(has(clean, "szu ba-ti"), "receipt").when(has(clean, "ba-zi", "ba-an-zi"), "expenditure").when(has(clean, "i3-dab5"), "transfer").when(has(clean, "mu-kux"), "delivery")
+
+
 def transaction_type(lines: Column) -> Column:
     """Damaged delivery marks first, then the last line with a keyword, then marks of document kinds."""
     raw = F.array_join(F.transform(lines, lambda x: x["raw"]), " ")
     clean = F.array_join(F.transform(lines, lambda x: x["clean"]), " ")
     delivery = F.when(has(raw, "mu-kux(DU) lugal", "mu-kux lugal"), "royal_delivery").otherwise("delivery")
-    keyword = lambda x: F.when(has(x, "szu ba-ti"), "receipt").when(has(x, "ba-zi", "ba-an-zi"), "expenditure").when(has(x, "i3-dab5"), "transfer").when(has(x, "mu-kux"), "delivery")
-    primary = last(F.filter(F.transform(lines, lambda x: keyword(x["clean"])), lambda t: t.isNotNull()))
+    primary = last(F.filter(F.transform(lines, lambda x: x["keyword"]), lambda t: t.isNotNull()))
     kinds = {"sza3-bi-ta": "sub_disbursement", "zi-ga": "expenditure", "sa2-du11": "regular_offering", "nig2-ka9": "running_account", "la2-ia3": "deficit_account", "u3-tu-da": "birth_record"}
     secondary = chain(((has(clean, k), F.lit(v)) for k, v in kinds.items()), F.lit(""))
-    return F.when(F.exists(lines, lambda x: matches(x["raw"], r"mu-\[kux|mu-\[DU")), delivery).otherwise(F.coalesce(bind(primary, lambda p: F.when(p == "delivery", delivery).otherwise(p)), secondary))
+    return F.when(F.exists(lines, lambda x: x["marked"]), delivery).otherwise(F.coalesce(bind(primary, lambda p: F.when(p == "delivery", delivery).otherwise(p)), secondary))
 
 
 # --- Persons --------------------------------------------------------------
@@ -88,13 +94,15 @@ def _of_line(line: Column, prev: Column, later: Column) -> list[Column]:
 _ROLE_HINTS = ("ki ", "szu ba-ti", "i3-dab5", "giri3", "maszkim", "kiszib3", "mu-kux", "zi-ga", "bala")
 
 
-def persons(lines: Column) -> Column:
-    def of(x: Column, i: Column) -> Column:
-        prev = F.when(i > 0, F.get(lines, i - 1)["clean"]).otherwise("")
-        some = F.filter(F.array(*(p.cast(PERSON) for p in _of_line(x["clean"], prev, i > 0))), lambda p: p.isNotNull())
-        return F.when(has(x["clean"], *_ROLE_HINTS), some).otherwise(F.array().cast(f"array<{PERSON}>"))
+def _named(clean: Column, prev: Column, later: Column) -> Column:
+    """The persons of a line, by the line before it where there is one."""
+    some = F.filter(F.array(*(p.cast(PERSON) for p in _of_line(clean, prev, later))), lambda p: p.isNotNull())
+    return F.when(has(clean, *_ROLE_HINTS), some).otherwise(F.array().cast(f"array<{PERSON}>"))
+
 
-    return F.flatten(F.transform(lines, of))
+def looks_back(raw: Column) -> Column:
+    """Whether a line may need the one before: it holds one of three marks, or may do so once its damage is cleaned away."""
+    return matches(raw, r"(?U)[<\[#?!]|\s\s|[\s&&[^ ]]") | has(raw, "szu ba-ti", "i3-dab5") | starts(raw, "ki ")
 
 
 def with_role(people: Column, *roles: str) -> Column:
@@ -198,17 +206,12 @@ def _broken(line: Column) -> Column:
 
 def animals(lines: Column) -> Column:
     """entries, has_summary and has_sza3_bi_ta of a tablet's lines."""
-    categories = F.exists(lines, lambda x: atf.is_category_total(x["clean"]))
-    grand = F.exists(lines, lambda x: atf.is_grand_total(x["clean"]))
+    categories, grand = F.exists(lines, lambda x: x["category"]), F.exists(lines, lambda x: x["grand"])
 
     def with_kind(kind: Column) -> Column:
-        used = lambda x: F.when(kind == 2, atf.is_category_total(x["clean"])).when(kind == 1, atf.is_grand_total(x["clean"])).otherwise(True)
-        main = lambda x: F.when(~used(x), _nothing()).when(matches(x["clean"], atf.NUMERAL), _counted(x)).when(kind == 0, _implied(x)).otherwise(_nothing())
-        return F.struct(
-            F.concat(F.flatten(F.transform(lines, main)), F.flatten(F.transform(lines, _broken))).alias("entries"),
-            (kind > 0).alias("has_summary"),
-            F.exists(lines, lambda x: has(x["clean"], "sza3-bi-ta")).alias("has_sza3"),
-        )
+        used = lambda x: F.when(kind == 2, x["category"]).when(kind == 1, x["grand"]).otherwise(True) & (x["counted"] | (kind == 0))
+        main = F.flatten(F.transform(F.filter(lines, used), lambda x: x["entries"]))
+        return F.struct(F.concat(main, F.flatten(F.transform(lines, lambda x: x["broken"]))).alias("entries"), (kind > 0).alias("has_summary"), F.exists(lines, lambda x: x["sza3"]).alias("has_sza3"))
 
     return bind(F.when(categories, 2).when(grand, 1).otherwise(0), with_kind)
 
@@ -216,60 +219,72 @@ def animals(lines: Column) -> Column:
 # --- Date, destination, recipients ----------------------------------------
 
 
-def month_name(lines: Column) -> Column:
-    def of(x: Column) -> Column:
-        candidate = strip(found(x["clean"], r"iti\s+(.+?)(?:\s*$)"))
-        return bind(candidate, lambda c: F.when(starts(c, "u4"), "").otherwise(strip(F.regexp_replace(c, r"\s+ba-zal.*$", ""))))
+def month_in(clean: Column) -> Column:
+    candidate = strip(found(clean, r"iti\s+(.+?)(?:\s*$)"))
+    return bind(candidate, lambda c: F.when(starts(c, "u4"), "").otherwise(strip(F.regexp_replace(c, r"\s+ba-zal.*$", ""))))
 
-    return F.coalesce(first(F.filter(F.transform(lines, of), lambda m: m != "")), F.lit(""))
 
-
-def day(lines: Column) -> Column:
+def day_in(clean: Column) -> Column:
     patterns = [r"(?U)u4\s+([\d()\w\s]+?)(?:-kam|\s+ba-zal|\s+ba-ra-zal)", r"(?U)iti-ta\s+u4\s+([\d()\w\s]+?)\s+ba-ra-zal", r"(?U)iti\s+u4\s+([\d()\w\s]+?)ba-zal"]
-    of = lambda x: F.when(has(x["clean"], "u4"), F.coalesce(*(bind(atf.numeral(found(x["clean"], p)), lambda n: F.when(n > 0, n)) for p in patterns)))
-    return F.coalesce(first(F.filter(F.transform(lines, of), lambda n: n.isNotNull())).cast("string"), F.lit(""))
-
+    return F.when(has(clean, "u4"), F.coalesce(*(bind(atf.numeral(found(clean, p)), lambda n: F.when(n > 0, n)) for p in patterns)))
 
-def year_name(lines: Column) -> Column:
-    return F.coalesce(first(F.filter(F.transform(lines, lambda x: x["clean"]), lambda c: matches(c, r"^mu\s+"))), F.lit(""))
 
-
-def destination(lines: Column) -> Column:
-    """destination and category of the first line that names one."""
+def destination_in(clean: Column) -> Column:
+    """destination and category that a line names, null if none."""
     pair = lambda d, c: F.struct(d.alias("destination"), c.alias("category"))
     category = lambda d: lookup(d, L.DESTINATION_CATEGORY)
+    to = found(clean, r"(?U)([\w{}-]+)-sze3")
+    inside = found(clean, r"(?U)sza3\s+([\w{}-]+)")
+    entered = found(clean, r"(?U)([\w{}-]+)\s+ba-an-kux")
+    kind = lambda d: F.when(category(d) != "", category(d)).otherwise(category(F.regexp_replace(d, "-la$", "")))
+    return F.coalesce(
+        bind(to, lambda d: F.when(d != "", pair(F.concat(d, F.lit("-sze3")), category(d)))),
+        bind(inside, lambda d: F.when(category(d) != "", pair(F.concat(F.lit("sza3 "), d), category(d)))),
+        bind(entered, lambda d: F.when(kind(d) != "", pair(F.concat(d, F.lit(" ba-an-kux")), kind(d)))),
+    )
 
-    def of(x: Column) -> Column:
-        to = found(x["clean"], r"(?U)([\w{}-]+)-sze3")
-        inside = found(x["clean"], r"(?U)sza3\s+([\w{}-]+)")
-        entered = found(x["clean"], r"(?U)([\w{}-]+)\s+ba-an-kux")
-        kind = lambda d: F.when(category(d) != "", category(d)).otherwise(category(F.regexp_replace(d, "-la$", "")))
-        return F.coalesce(
-            bind(to, lambda d: F.when(d != "", pair(F.concat(d, F.lit("-sze3")), category(d)))),
-            bind(inside, lambda d: F.when(category(d) != "", pair(F.concat(F.lit("sza3 "), d), category(d)))),
-            bind(entered, lambda d: F.when(kind(d) != "", pair(F.concat(d, F.lit(" ba-an-kux")), kind(d)))),
-        )
 
-    hits = F.filter(F.transform(lines, of), lambda d: d.isNotNull())
-    return F.coalesce(first(hits), pair(F.lit(""), F.lit("")))
+def first_of(lines: Column, field: str, none: Column) -> Column:
+    """The first value of a field that some line has."""
+    return F.coalesce(first(F.filter(F.transform(lines, lambda x: x[field]), lambda v: v.isNotNull())), none)
 
 
 _SUFFIXED = r"(?:-(?:sze3|ra|ke4|kam|ta|me|e-ne))?(?=[ \t]|$)"
 _NOT_OFFERING = ("ki ", "giri3 ", "kiszib3", "mu-kux", "maszkim", "szu ba-ti", "i3-dab5", "ba-zi", "ba-an-zi", "zi-ga")
 
 
-def divine_recipients(lines: Column, people: Column) -> Column:
-    """Deities that stand alone in a line of offering, in order of line, then list; each once."""
-    from dubsar.functions.columns import q
+def deities_alone(clean: Column) -> Column:
+    """Deities that stand alone in a line of offering, in order of the list."""
+    offering = ~has(clean, *_NOT_OFFERING) & ~matches(clean, r"^(mu|iti)\s+") & matches(clean, any_of(L.DEITIES))
+    alone = lambda d: F.regexp_like(clean, F.concat(F.lit(r"(?:^|[ \t]|ezem-|e2-|sza3-)\Q"), d, F.lit(r"\E" + _SUFFIXED)))
+    return F.when(offering, F.filter(strings(L.DEITIES), alone)).otherwise(F.array().cast("array<string>"))
+
 
+def divine_recipients(lines: Column, people: Column) -> Column:
+    """Deities of all lines in order of line, then list, each once; none that is a person's name."""
     names = F.transform(people, lambda p: p["name"])
+    return F.array_distinct(F.filter(F.flatten(F.transform(lines, lambda x: x["deities"])), lambda d: ~F.array_contains(names, d)))
+
+
+# --- Lines ----------------------------------------------------------------
+
+
+def line_facts(line: Column, prev: Column, later: Column) -> Column:
+    """All that a content line (raw, clean) says, by the clean line before it."""
+    raw, clean = line["raw"], line["clean"]
+    counted = matches(clean, atf.NUMERAL)
+    absent = lambda c: bind(c, lambda v: F.when(v != "", v))
+    return F.struct(
+        raw.alias("raw"), clean.alias("clean"), keyword(clean).alias("keyword"), matches(raw, r"mu-\[kux|mu-\[DU").alias("marked"), _named(clean, prev, later).alias("persons"),
+        atf.is_category_total(clean).alias("category"), atf.is_grand_total(clean).alias("grand"), has(clean, "sza3-bi-ta").alias("sza3"),
+        counted.alias("counted"), F.when(counted, _counted(line)).otherwise(_implied(line)).alias("entries"), _broken(line).alias("broken"),
+        absent(month_in(clean)).alias("month"), day_in(clean).cast("string").alias("day"), F.when(matches(clean, r"^mu\s+"), clean).alias("year"),
+        destination_in(clean).alias("destination"), deities_alone(clean).alias("deities"),
+    )
 
-    def of(x: Column) -> Column:
-        offering = ~has(x["clean"], *_NOT_OFFERING) & ~matches(x["clean"], r"^(mu|iti)\s+") & matches(x["clean"], any_of(L.DEITIES))
-        alone = (F.when(matches(x["clean"], rf"(?:^|[ \t]|ezem-|e2-|sza3-){q(d)}{_SUFFIXED}"), F.lit(d)) for d in L.DEITIES)
-        return F.when(offering, F.filter(F.array(*alone), lambda d: d.isNotNull())).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(lines, of)), lambda d: ~F.array_contains(names, d)))
+def _cleaned(raw: Column) -> Column:
+    return F.struct(raw.alias("raw"), atf.without_damage(raw).alias("clean"))
 
 
 # --- Whole tablets --------------------------------------------------------
@@ -296,26 +311,107 @@ def _imputed(entries: Column, has_summary: Column, edge: Column) -> Column:
 
 
 def extract(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFrame:
-    """One row of facts per row of tablets (id_text, designation, transliteration and a date code).
+    """One row of facts per row of tablets (id_text, designation, transliteration and a date code), worked out within the row.
 
     Columns of tablets other than the text and lines stay in front.
     """
     given = with_defaults(tablets)
-    text = strip(F.col("transliteration"))
-    lined = given.withColumn("transliteration", text).withColumn("lines", atf.content_lines(F.col("transliteration")))
-    none = F.size("lines") == 0
-    lines = F.col("lines")
-    parts = lined.select(
-        *given.columns, "lines",
-        transaction_type(lines).alias("transaction_type"), persons(lines).alias("persons"), animals(lines).alias("_animals"),
-        F.when(none, F.lit(0).cast("long")).otherwise(atf.edge_total(F.col("transliteration"))).alias("edge_total"),
-        month_name(lines).alias("month_name"), day(lines).alias("day"), year_name(lines).alias("year_name"), destination(lines).alias("_destination"),
-        F.when(none, atf_empty_damage()).otherwise(atf.damage_report(F.col("transliteration"))).alias("damage"),
-        atf.date_code(F.col(date_column)).alias("_date"), (F.col("transliteration") != "").alias("has_transliteration"),
+    given = given.withColumn("transliteration", strip(F.col("transliteration")))
+    cut = given.select("*", atf.sections(atf.stripped_lines(F.col("transliteration"))).alias("_cut"))
+    cut = cut.withColumn("_lines", F.transform("_cut.content", lambda x: _cleaned(x["raw"])))
+    facts = F.transform("_lines", lambda x, i: line_facts(x, F.when(i > 0, F.get("_lines", i - 1)["clean"]).otherwise(""), i > 0))
+    numbered = F.transform(F.filter("_cut.content", lambda x: x["numbered"]), lambda x: x["raw"])
+    parts = cut.select(
+        *given.columns, facts.alias("_facts"), F.transform(F.concat(numbered, F.col("_cut.other")), atf.line_damage).alias("_signs"),
+        F.transform("_cut.edge", atf.line_number_value).alias("_edge"), F.col("_cut.n_notes").alias("_notes"),
+    )
+    return _assembled(parts, given.columns, date_column)
+
+
+#: A line is hot from this share of all lines on; so hot lines are at most as many as its inverse, and are broadcast.
+HOT = 1 / 2000
+
+
+def line_table(lines: DataFrame) -> DataFrame:
+    """n and facts (say, signs, value) of each distinct row of lines: kind (c content, o other, e edge), raw, prev, later.
+
+    id addresses a row by content: a digest of the four.
+    """
+    distinct = lines.groupBy("kind", "raw", "prev", "later").agg(F.count(F.lit(1)).alias("n")).withColumn("id", _line_id())
+    # Few bytes may be much work: deal them out by number, which adaptive execution leaves alone.
+    distinct = distinct.repartition(max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "id")
+    prev = F.when(F.col("prev").isNull(), "").otherwise(atf.without_damage(F.col("prev")))
+    distinct = distinct.withColumns({"line": _cleaned(F.col("raw")), "before": prev})
+    facts = F.struct(
+        F.when(F.col("kind") == "c", line_facts(F.col("line"), F.col("before"), F.col("later"))).alias("say"),
+        F.when(F.col("kind") != "e", atf.line_damage(F.col("raw"))).alias("signs"),
+        F.when(F.col("kind") == "e", atf.line_number_value(F.col("raw"))).alias("value"),
+    )
+    return distinct.select("id", "n", facts.alias("facts"))
+
+
+def _line_id() -> Column:
+    return F.unhex(F.md5(F.concat("kind", F.col("later").cast("string"), F.octet_length("raw").cast("string"), F.lit(":"), F.col("raw"), F.coalesce(F.concat(F.lit("<"), F.col("prev")), F.lit("")))))
+
+
+def extract_tablets(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFrame:
+    """What extract() gives, over a table of distinct lines; the order of rows is free.
+
+    Two tables are stored: the texts, cut into lines, with a row number, and the facts of distinct lines. Lines meet their facts
+    by digest; those that make up HOT of all lines or more do so by a broadcast of at most 1 / HOT rows, so no frequent line
+    gathers in one task. One shuffle by row number puts a text's lines together again.
+    """
+    given = with_defaults(tablets)
+    columns = given.columns
+    given = given.withColumn("transliteration", strip(F.col("transliteration"))).select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("given"))
+    texts = stored(given.withColumn("cut", atf.sections(atf.stripped_lines(F.col("given.transliteration")))), "texts")
+    cut = texts.select("row", "cut")
+    content = F.transform("cut.content", lambda x, i: F.struct(
+        F.lit("c").alias("kind"), i.alias("i"), x["raw"].alias("raw"), F.when((i > 0) & looks_back(x["raw"]), F.get("cut.content", i - 1)["raw"]).alias("prev"),
+        ((i > 0) & looks_back(x["raw"])).alias("later"), x["numbered"].alias("numbered")))
+    plain = lambda c, kind: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("raw"), F.lit(None).cast("string").alias("prev"), F.lit(False).alias("later"), F.lit(True).alias("numbered")))
+    lines = cut.select("row", F.inline(F.concat(content, plain("cut.other", "o"), plain("cut.edge", "e"))))
+
+    facts = stored(line_table(lines), "lines")
+    n = facts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") >= max(2, int(n * HOT))
+    hot = facts.where(is_hot).select("id", F.col("facts").alias("hot_facts"))
+    asked = lines.select("row", "kind", "i", "numbered", _line_id().alias("id")).join(F.broadcast(hot.select("id", F.lit(True).alias("is_hot"))), "id", "left")
+    # A hot line asks for an id that no line has, another one in each row, so that it falls into any partition.
+    spread = F.when(F.col("is_hot"), F.unhex(F.md5(F.concat_ws(",", F.lit("hot"), "row", "kind", "i")))).otherwise(F.col("id"))
+    met = asked.withColumn("asked", spread).join(facts.where(~is_hot).select(F.col("id").alias("asked"), "facts"), "asked", "left")
+    met = met.join(F.broadcast(hot), "id", "left").select("row", "kind", "i", "numbered", F.coalesce("facts", "hot_facts").alias("facts"))
+
+    heads = texts.select("row", "given", F.col("cut.n_notes").alias("n_notes"), *(F.lit(None).cast(t).alias(c) for c, t in met.dtypes if c != "row"))
+    whole = heads.unionByName(met.withColumns({"given": F.lit(None).cast(texts.schema["given"].dataType), "n_notes": F.lit(None).cast("long")})).groupBy("row").agg(
+        F.first("given", ignorenulls=True).alias("given"), F.max("n_notes").alias("_notes"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "i", "numbered", "facts")))).alias("lines"),
+    )
+    of = lambda kind: F.filter("lines", lambda x: x["kind"] == kind)
+    parts = whole.select(
+        "given.*", F.transform(of("c"), lambda x: x["facts"]["say"]).alias("_facts"),
+        F.transform(F.filter("lines", lambda x: x["numbered"] & (x["kind"] != "e")), lambda x: x["facts"]["signs"]).alias("_signs"),
+        F.transform(of("e"), lambda x: x["facts"]["value"]).alias("_edge"), "_notes",
+    )
+    return _assembled(parts, columns, date_column)
+
+
+def _assembled(parts: DataFrame, given: list[str], date_column: str) -> DataFrame:
+    """The row of facts from the lines': _facts, _signs (of numbered lines), _edge (values of the first left edge), _notes."""
+    none = F.size("_facts") == 0
+    facts = F.col("_facts")
+    none_named = F.struct(F.lit("").alias("destination"), F.lit("").alias("category"))
+    parts = parts.select(
+        *given, F.transform(facts, lambda x: F.struct(x["raw"].alias("raw"), x["clean"].alias("clean"))).alias("lines"),
+        transaction_type(facts).alias("transaction_type"), F.flatten(F.transform(facts, lambda x: x["persons"])).alias("persons"), animals(facts).alias("_animals"),
+        F.when(none, F.lit(0).cast("long")).otherwise(F.coalesce(first(F.filter("_edge", lambda v: v > 0)), F.lit(0).cast("long"))).alias("edge_total"),
+        first_of(facts, "month", F.lit("")).alias("month_name"), first_of(facts, "day", F.lit("")).alias("day"), first_of(facts, "year", F.lit("")).alias("year_name"), first_of(facts, "destination", none_named).alias("_destination"),
+        F.when(none, atf_empty_damage()).otherwise(atf.damage_report(F.col("_signs"), F.col("_notes"))).alias("damage"),
+        atf.date_code(F.col(date_column)).alias("_date"), (F.col("transliteration") != "").alias("has_transliteration"), "_facts",
     )
     more = parts.select(
         "*", _imputed(F.col("_animals.entries"), F.col("_animals.has_summary"), F.col("edge_total")).alias("_fill"),
-        divine_recipients(F.col("lines"), F.col("persons")).alias("divine_recipients"),
+        divine_recipients(F.col("_facts"), F.col("persons")).alias("divine_recipients"),
         offices(F.col("persons"), "source", "deliverer").alias("source_office"), offices(F.col("persons"), "receiver", "sealer").alias("receiver_office"),
     )
     entries = F.col("_animals.entries")
@@ -324,7 +420,7 @@ def extract(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFram
     dated = (F.col("month_name") != "") | (F.col("year_name") != "")
     score = atf.score_label(F.col("has_transliteration"), F.col("transaction_type"), F.size("persons"), F.size(entries), dated, F.col("damage.preservation"), uncertain, all_)
     columns = [
-        *(F.col(c) for c in given.columns), F.col("id_text").alias("tablet_id"), F.col("lines"), F.col("transaction_type"), F.col("persons"), F.col("_fill.entries").alias("animals"),
+        *(F.col(c) for c in given), F.col("id_text").alias("tablet_id"), F.col("lines"), F.col("transaction_type"), F.col("persons"), F.col("_fill.entries").alias("animals"),
         all_.alias("total_animals"), sum_of(lambda a: ~a["damaged"]).alias("total_animals_certain"), uncertain.alias("total_animals_uncertain"),
         F.col("edge_total"), F.col("_animals.has_summary").alias("has_summary_line"), F.col("_animals.has_sza3").alias("has_sza3_bi_ta"),
         F.col("month_name"), F.col("_date.ruler").alias("ruler"), F.col("_date.regnal_year").alias("regnal_year"),

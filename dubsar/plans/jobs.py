@@ -17,7 +17,7 @@ from dubsar.sources import readers
 
 def process_database(spark: SparkSession, source: str, target: str, limit: int = 0, fmt: str = "csv", dictionary: DataFrame | None = None) -> DataFrame:
     """Extract a tablet CSV into flat records, write them, return what was written."""
-    full = extract.extract(readers.read_tablets(spark, source, limit))
+    full = extract.extract_tablets(readers.read_tablets(spark, source, limit))
     if dictionary is not None:
         full = names.normalize_persons(full, dictionary)
     readers.write_flat(flatten.to_flat(full), target, fmt)

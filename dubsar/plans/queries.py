@@ -15,7 +15,7 @@ from dubsar.sources.synthetic import EXPECTED, tablets
 
 def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracted tablets of a data folder: worked out once per session, then read from Parquet."""
-    return kept(spark, f"extracted:{sf_dir}", lambda: extract.extract(tablets(spark, sf_dir)))
+    return kept(spark, f"extracted:{sf_dir}", lambda: extract.extract_tablets(tablets(spark, sf_dir)))
 
 
 def animal_totals_by_species(spark, sf_dir):

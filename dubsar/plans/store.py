@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dubsar.sources.scratch import shared_folder
+
 _PATHS: dict[tuple[str, str], tuple[str, object]] = {}
 
 
 def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """make() as a Parquet table, made at most once per application and name.
 
-    The folder is spark.checkpoint.dir, which every executor reaches; a temporary one
-    stands in where that is unset, in local mode alone.
+    The folder is that of sources.scratch.
     """
     key = (spark.sparkContext.applicationId, name)
     if key not in _PATHS:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-        if not folder:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir names no folder: on a cluster tables must lie where all executors see them")
-            folder = "file://" + tempfile.mkdtemp(prefix="dubsar-")
         df = make()
-        path = f"{folder.rstrip('/')}/dubsar-kept-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/dubsar-kept-{uuid.uuid4().hex}"
         df.write.parquet(path)
         _PATHS[key] = (path, df.schema)
     path, schema = _PATHS[key]
