@@ -42,6 +42,8 @@ MOST_CHARS, MOST_GRAMS = 512, 8_192
 RIDGE = 1e-3
 #: Characters and texts looked at together; they bound what a task holds.
 PIECE, ROWS = 1 << 17, 64
+#: Parts of a language that are ranked apart before its sample is drawn.
+SALTS = 64
 HELD_OUT_OF, HELD_OUT = 4, 2
 UNKNOWN = "und"
 BLANK = 1
@@ -206,8 +208,11 @@ class Model:
 def _sample(docs: DataFrame) -> DataFrame:
     """lang, turn, text of the rows to learn from, at most TRAIN_ROWS; stored."""
     labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id")).select("doc_id", "lang").distinct()
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("turn", turn).where(F.col("turn") <= PER_LANGUAGE).orderBy("turn", "lang").limit(TRAIN_ROWS)
+    hashed = labelled.withColumn("hash", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))
+    # The first of a language are among the first of each of its parts.
+    few = hashed.withColumn("turn", turn("lang", "salt")).where(F.col("turn") <= PER_LANGUAGE)
+    chosen = few.withColumn("turn", turn("lang")).where(F.col("turn") <= PER_LANGUAGE).select("doc_id", "lang", "turn").orderBy("turn", "lang").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"])
     return stored(texts.groupBy("doc_id", "lang", "turn").agg(F.min("text").alias("text")).select("lang", "turn", "text"), "language-sample")
 
