@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,26 +24,175 @@ LEMMAS = "doc string, seq long, form string, cf string, gw string, pos string, e
 WALKED = 10_000
 
 
-def _words(text: str) -> Iterator[tuple[str | None, ...]]:
-    """The fields of the word nodes of one tree, in reading order; of any depth."""
+_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([\[\]{},:])|("[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity))'
+)
+_FIELDS = ("form", "cf", "gw", "pos", "epos")
+
+
+def _events(text: str) -> Iterator[tuple[str, int, int]]:
+    """The tokens of a JSON text with their places: brackets, k (a key), v (any other scalar). ValueError where it is malformed.
+
+    What is held is one character for each open bracket.
+    """
+    open_: list[str] = []
+    want, pos = "value", 0
+    while want != "end":
+        m = _TOKEN.match(text, pos)
+        if m is None:
+            raise ValueError(f"no token at {pos}")
+        mark, string, pos = m[1], m[2], m.end()
+        if want == "colon":
+            if mark != ":":
+                raise ValueError(f"no colon at {pos}")
+            want = "value"
+            continue
+        if want == "comma" and mark == ",":
+            want = "key" if open_[-1] == "{" else "value"
+            continue
+        if mark is None:
+            if want == "comma" or (want in ("key", "key or }") and string is None):
+                raise ValueError(f"a value too many at {pos}")
+            key = want in ("key", "key or }")
+            yield "k" if key else "v", m.start(2) if string else m.start(3), pos
+            want = "colon" if key else "comma" if open_ else "end"
+        elif mark in "{[" and want in ("value", "value or ]"):
+            open_.append(mark)
+            yield mark, pos - 1, pos
+            want = "key or }" if mark == "{" else "value or ]"
+        elif mark in "}]" and open_ and (open_[-1] + mark) in ("{}", "[]") and want in ("comma", "key or }" if mark == "}" else "value or ]"):
+            open_.pop()
+            yield mark, pos - 1, pos
+            want = "comma" if open_ else "end"
+        else:
+            raise ValueError(f"{mark} at {pos}")
+    if text[pos:].strip(" \t\n\r"):
+        raise ValueError(f"more at {pos}")
+
+
+class _Node:
+    """An open node: where it opened, node and f so far (places of their values), its last cdl, whether its word is out."""
+
+    __slots__ = ("at", "cdl", "f", "kind", "late", "out")
+
+    def __init__(self, at: int) -> None:
+        self.at, self.kind, self.f, self.cdl, self.late, self.out = at, None, None, None, False, False
+
+
+def _nodes(text: str, late: dict[int, tuple] | None) -> Iterator[tuple]:
+    """Without late: the nodes that name kind, fields or children again after children, as (place, kind, f, cdl). With it: place of f of each word, in reading order."""
+    open_: list[_Node | None] = []  # None: a list of children
+    skipped, key, began = 0, "", 0
+    for what, a, b in _events(text):
+        if skipped:
+            skipped += (what in "{[") - (what in "}]")
+            if skipped:
+                continue
+            what, a = "v", began  # a value that is not walked, now whole
+        node = open_[-1] if open_ else None
+        if node is None and open_:
+            if what == "{":
+                open_.append(_Node(a))
+            elif what == "[":
+                skipped, began, key = 1, a, ""
+            elif what == "]":
+                open_.pop()
+            continue
+        if node is None:
+            if what == "{":
+                open_.append(_Node(a))
+            elif what == "[":
+                skipped, began = 1, a
+            continue
+        if what == "k":
+            key = json.loads(text[a:b])
+            node.late |= node.cdl is not None and key in ("node", "f", "cdl")
+        elif what == "}":
+            if late is None and node.late:
+                yield node.at, node.kind, node.f, node.cdl
+            elif late is not None and not node.out and len(open_) > 1:
+                kind, f, _ = late.get(node.at, (node.kind, node.f, None))
+                if _is_word(text, kind):
+                    yield (f,)
+            open_.pop()
+        elif what == "[" and key == "cdl" and (late is None or node.at not in late or late[node.at][2] == a):
+            node.cdl = a
+            if late is not None and len(open_) > 1:
+                kind, f, _ = late.get(node.at, (node.kind, node.f, None))
+                node.out = True
+                if _is_word(text, kind):
+                    yield (f,)
+            open_.append(None)
+        elif what in "{[":
+            skipped, began = 1, a
+        elif key == "node":
+            node.kind = (a, b)
+        elif key == "f":
+            node.f = (a, b)
+        elif key == "cdl" and node.cdl is not None:
+            node.cdl = -1
+
+
+def _is_word(text: str, kind: tuple[int, int] | None) -> bool:
+    return kind is not None and kind[1] - kind[0] < 16 and text[slice(*kind)].startswith('"') and json.loads(text[slice(*kind)]) == "l"
+
+
+def _fields(text: str, f: tuple[int, int] | None) -> tuple[str | None, ...] | None:
+    """form, cf, gw, pos, epos of the value of f; None where that is null or not there."""
+    said = text[slice(*f)] if f else "null"
+    if said == "null":
+        return None
+    if not said.startswith("{"):
+        return (None,) * len(_FIELDS)
     try:
-        root = json.loads(text)
-    except ValueError:
-        return
+        given = json.loads(said)
+        return tuple(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in map(given.get, _FIELDS))
+    except RecursionError:  # a value deeper than Python's own parser goes names no word
+        return (None,) * len(_FIELDS)
+
+
+#: Characters of a text that Python's own parser may take whole.
+PARSED = 1 << 24
+
+
+def _parsed_words(text: str) -> Iterator[tuple[str | None, ...]]:
+    """The same of a text that is parsed whole; RecursionError where it is too deep for that."""
     below = lambda node: node["cdl"] if isinstance(node, dict) and isinstance(node.get("cdl"), list) else []
-    open_ = [iter(below(root))]
+    open_, end = [iter(below(json.loads(text)))], object()
     while open_:
-        node = next(open_[-1], None)
-        if node is None:
+        node = next(open_[-1], end)
+        if node is end:
             open_.pop()
-            continue
-        if not isinstance(node, dict):
-            continue
-        f = node.get("f")
-        if node.get("node") == "l" and f is not None:
-            got = (f.get(k) if isinstance(f, dict) else None for k in ("form", "cf", "gw", "pos", "epos"))
-            yield tuple(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in got)
-        open_.append(iter(below(node)))
+        elif isinstance(node, dict):
+            f = node.get("f")
+            if node.get("node") == "l" and f is not None:
+                got = (f.get(k) if isinstance(f, dict) else None for k in _FIELDS)
+                yield tuple(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for v in got)
+            open_.append(iter(below(node)))
+
+
+def _pulled_words(text: str) -> Iterator[tuple[str | None, ...]]:
+    """The text is read twice, token by token: first to know that it is well formed, and which nodes tell of themselves
+    after their children; then words go out while it is read. What is held grows with the depth alone.
+    """
+    late = {at: rest for at, *rest in _nodes(text, None)}
+    for (f,) in _nodes(text, late):
+        if (word := _fields(text, f)) is not None:
+            yield word
+
+
+def _words(text: str) -> Iterator[tuple[str | None, ...]]:
+    """The fields of the word nodes of one tree, in reading order; of any depth and size. Malformed texts have none."""
+    try:
+        if len(text) <= PARSED:
+            try:
+                yield from _parsed_words(text)
+                return
+            except RecursionError:  # raised before the first word
+                pass
+        yield from _pulled_words(text)
+    except ValueError:
+        return
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +212,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def walk_lemmas(texts: DataFrame) -> DataFrame:
     """LEMMAS: the word nodes of text JSON trees (doc, json), in reading order.
 
-    Each tree is walked by itself, with no bound on depth or size, and rows go on in small
-    batches: one narrow stage, no shuffle. Malformed JSON and null give no rows.
+    A large or deep tree is read by a pull parser, so there is no bound on either, and rows
+    go on in small batches: one narrow stage, no shuffle. Malformed JSON and null give no rows.
     """
     return texts.select(F.col("doc").cast("string"), "json").mapInArrow(_walk, LEMMAS)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dubsar.operators.extract import with_defaults
+from dubsar.sources import archives, splits
 
 STORE = "map<string,struct<atf:string,rul:string,yr:string,mo:string,dy:string,des:string,conf:string>>"
 GLOSSARY = "idx int, citation string, meaning string, pos string, category string, attestations long, forms array<struct<form:string,atf:string,count:long>>"
@@ -40,15 +41,50 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return max(x.getModificationTime() for x in found)
 
 
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def _columns(spark: SparkSession, path: str) -> list[str]:
+    """The header of the first file."""
+    return spark.read.csv(path, header=True, inferSchema=False, **_CSV).columns
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """r, the cells of a CSV as a struct of strings, and pos."""
+    columns = _columns(spark, path)
+    found = splits.records(spark, path, splits.Quoted()).where("NOT (start = 0 AND k = 0)")
+    text = F.regexp_replace("text", "\r$", "")
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in columns)
+    return found.where(text != "").select(F.from_csv(text, schema, _CSV).alias("r"), "pos")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV with a header; cells may hold line ends; all columns strings."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    """Any CSV with a header; all columns strings. Cells may hold line ends; quotes stand around whole cells and are doubled inside.
+
+    A file is read in as many tasks as it has splits.
+    """
+    return _records(spark, path).select("r.*")
 
 
 def read_tablets(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Raw tablets with their defaults and pos, the place in the input."""
-    rows = with_defaults(read_csv(spark, path)).withColumn("pos", F.monotonically_increasing_id())
-    return rows.orderBy("pos").limit(limit) if limit else rows
+    """Raw tablets with their defaults and pos, which rises with the place in the input: files by name, then rows.
+
+    With a limit the first files are read in one task each, and only as far as it goes.
+    """
+    if not limit:
+        rows = _records(spark, path)
+        return with_defaults(rows.select(*(f"r.{c}" for c in rows.select("r.*").columns if c != "pos"), "pos"))
+    rows, found = None, 0
+    columns = _columns(spark, path)
+    for ordinal, file in enumerate(sorted(spark.read.csv(path).inputFiles())):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        part = spark.read.schema(schema).csv(file, header=True, **_CSV).limit(limit - found)
+        part = part.withColumn("pos", F.shiftleft(F.lit(ordinal).cast("long"), 32) + F.monotonically_increasing_id())
+        rows = part if rows is None else rows.unionByName(part)
+        found += part.count()
+        if found >= limit:
+            break
+    return with_defaults(rows)
 
 
 def with_text(tablets: DataFrame) -> DataFrame:
@@ -59,9 +95,13 @@ def with_text(tablets: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of tablets by id as rows of id_text, designation, transliteration, date_of_origin, confidence."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", T._parse_datatype_string(STORE)).alias("m"))
-    rows = text.select(F.explode("m").alias("id_text", "t"))
+    """A JSON object of tablets by id as rows of id_text, designation, transliteration, date_of_origin, confidence; of entries that repeat an id the last one stays.
+
+    Entries are found in all splits of the file at once, also where it is a single line.
+    """
+    found = splits.records(spark, path, splits.Entries())
+    entry = F.concat(F.lit("{"), F.regexp_replace("text", r"^[\s,{\x{FEFF}]+", ""), F.lit("}}"))
+    rows = found.select("pos", F.explode(F.from_json(entry, T._parse_datatype_string(STORE))).alias("id_text", "t")).groupBy("id_text").agg(F.max_by("t", "pos").alias("t"))
     part = lambda c: F.coalesce(F.col(f"t.{c}"), F.lit(""))
     return rows.select("id_text", part("des").alias("designation"), part("atf").alias("transliteration"), F.concat_ws(".", part("rul"), part("yr"), part("mo"), part("dy")).alias("date_of_origin"), part("conf").alias("confidence"))
 
@@ -75,8 +115,15 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("tablet_id", "source", "field", F.when(as_list, listed).otherwise(F.array("value")).alias("want"), as_list.alias("as_list"))
 
 
-def read_zip_members(spark: SparkSession, path: str, containing: str = CORPUS_MEMBER) -> DataFrame:
-    """doc and json of the JSON members of zip archives whose name holds a string; members stream out one by one."""
+def read_zip_members(spark: SparkSession, path: str, containing: str = CORPUS_MEMBER, group: int = archives.GROUP) -> DataFrame:
+    """doc and json of the JSON members of zip archives whose name holds a string; a task reads a group of members by their ranges.
+
+    In stores that Python does not reach, an archive is one row of Spark's binaryFile source, and 2 GB at most.
+    """
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    if all(archives.reached(f) for f in files):
+        spark.dataSource.register(archives.ZipMembers)
+        return spark.read.format("zip_members").option("archives", "\n".join(files)).option("containing", containing).option("group", group).load()
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
