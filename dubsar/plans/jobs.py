@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import parse_qs, quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from dubsar.functions import atf
 from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names
-from dubsar.sources import readers
+from dubsar.sources import lookup, readers
+from dubsar.sources.scratch import scratch_path, stored
 
 
 def process_database(spark: SparkSession, source: str, target: str, limit: int = 0, fmt: str = "csv", dictionary: DataFrame | None = None) -> DataFrame:
@@ -87,19 +89,34 @@ def run_steps(spark: SparkSession, steps: list[tuple[str, str, list[str], Callab
     return ran
 
 
+def _together(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row of a list for each part, in its order: for small results, bounded by the lexicon and the calendar."""
+    row = lambda df: F.to_json(F.struct(*df.columns))
+    rows = [df.select(F.lit(name).alias("part"), F.monotonically_increasing_id().alias("at"), row(df).alias("row")) for name, df in parts.items()]
+    every = reduce(DataFrame.unionByName, rows)
+    of = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == name, F.struct("at", "row")))), lambda x: x["row"])
+    return every.agg(*(of(name).alias(name) for name in parts))
+
+
 class Service:
-    """What a front end asks for, as DataFrames over tablets that are extracted once and cached."""
+    """What a front end asks for, as DataFrames over tablets that are extracted once.
+
+    They lie in a lookup table by id, written to path (or the shared folder), as do the contributions of timelines.
+    """
 
-    def __init__(self, tablets: DataFrame, date_column: str = "dates_referenced") -> None:
-        self.extracted = extract.extract(readers.with_text(tablets), date_column).persist()
-        self.contrib = analytics.contributions(self.extracted).persist()
+    def __init__(self, tablets: DataFrame, date_column: str = "dates_referenced", path: str | None = None) -> None:
+        spark = tablets.sparkSession
+        made = stored(extract.extract_tablets(readers.with_text(tablets), date_column), "served")
+        self.by_id = lookup.write(made, path or scratch_path(spark, "served-by-id"), "tablet_id")
+        self.extracted = self.by_id.rows
+        self.contrib = stored(analytics.contributions(self.extracted), "contributions")
 
     def index(self) -> DataFrame:
         return flatten.tablet_index(flatten.to_flat(self.extracted))
 
     def tablet(self, tablet_id: str) -> DataFrame:
         """One tablet with annotation, summary and issues."""
-        own = self.extracted.where(F.col("tablet_id") == tablet_id)
+        own = self.by_id.at(tablet_id)
         noted = own.withColumn("issues", issues.found_issues())
         return noted.join(annotate.annotate(own), "tablet_id").join(annotate.plain_summary(own), "tablet_id")
 
@@ -133,16 +150,20 @@ class Service:
             "tablet": lambda: self.tablet(unquote(rest)),
             "random": self.random,
             "stats": self.stats,
-            "timeline": lambda: self.officials()[0],
+            "timeline": lambda: _together(dict(zip(("officials", "edges", "periods"), self.officials(), strict=True))),
             "animals_timeline": lambda: self.animals(**shared),
             "recipients_timeline": lambda: self.recipients(given.get("lens", "deity"), **shared),
             "animals_cell": lambda: self.cell(given.get("animal", ""), given.get("period", ""), given.get("granularity", "year"), **shared),
         }
-        return readers.to_json_rows(routes[route]())
+        told = routes[route]()
+        if route == "timeline":  # its lists hold JSON already
+            lists = (F.concat(F.lit(f'"{c}":['), F.array_join(c, ","), F.lit("]")) for c in told.columns)
+            return told.select(F.concat(F.lit("{"), F.concat_ws(",", *lists), F.lit("}")).alias("json"))
+        return readers.to_json_rows(told)
 
     def export(self, tablet_id: str, path: str) -> bool:
         """One tablet as a JSON file beside the driver; False, and no file, where there is none."""
-        if not self.extracted.where(F.col("tablet_id") == tablet_id).limit(1).count():
+        if not self.by_id.at(tablet_id).limit(1).count():
             return False
         readers.dump_report(json.loads(self.respond(f"/api/tablet/{quote(tablet_id, safe='')}").first()["json"]), path)
         return True

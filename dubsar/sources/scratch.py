@@ -19,8 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path there."""
+    return f"{shared_folder(spark)}/dubsar-{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/dubsar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path := scratch_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)

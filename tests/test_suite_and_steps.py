@@ -62,6 +62,9 @@ def test_routes_and_export(spark, tmp_path):
     assert {(r["period"], r["total_count"]) for r in told("/api/animals_timeline?exclude=3,x") if r["granularity"] == "year"} == {("AS.05", 10)}
     assert len(told("/api/animals_cell?animal=udu&period=AS.05.09&granularity=month")) == 3 and told("/api/stats")
     assert service.respond("/api/recipients_timeline?lens=destination&flow=external").columns == service.respond("/api/timeline").columns == ["json"]
+    (timeline,) = told("/api/timeline")
+    assert {k: len(v) for k, v in timeline.items()} == {"officials": service.officials()[0].count(), "edges": service.officials()[1].count(), "periods": service.officials()[2].count()}
+    assert [r["official"] for r in timeline["officials"]] == [r["official"] for r in service.officials()[0].collect()]
     with pytest.raises(KeyError):
         service.respond("/api/unknown")
     assert service.export("1", str(tmp_path / "one.json")) and json.loads((tmp_path / "one.json").read_text())["tablet_id"] == "1"
