@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import chain, lookup
+from dubsar.operators.asof import as_of
 
 LENSES = ("animal", "deity", "destination", "destcat")
 
@@ -145,11 +146,28 @@ def office_table() -> dict[str, tuple[str, str]]:
     return out | {f"{who}#{office}": (office, branch) for who, phases in L.TENURE.items() for _, office, branch in phases}
 
 
-def official_mentions(extracted: DataFrame) -> DataFrame:
-    """tablet_id, seq, role, official, period and its ordinal: every mention of a known official in a dated tablet."""
-    base = dated(extracted).select("tablet_id", "ruler", "regnal_year", "month_number", F.col("period_y").alias("period"), (F.col("r_idx") * 100 + F.col("regnal_year")).cast("long").alias("ord"), F.posexplode("persons").alias("seq", "p"))
-    named = base.where(F.col("p.role").isin("source", "receiver", "intermediary")).withColumn("official", _phase_key(F.col("p.name")))
-    return named.where("official is not null").select("tablet_id", "seq", F.col("p.role").alias("role"), "official", "period", "ord")
+def _date_ordinal(r_idx: Column, year: Column, month: Column) -> Column:
+    """One number that orders dates; a missing month comes first."""
+    part = lambda c, most: F.least(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)), F.lit(most)).cast("long")
+    return (r_idx.cast("long") * 1_000_000 + part(year, 999_999)) * 100 + part(month, 99)
+
+
+def tenure_table(spark: SparkSession) -> DataFrame:
+    """name, official (the key of a phase), until (ordinal of its last date, null where open) of every known official."""
+    rank = {abbr: k for k, (_, abbr) in enumerate(L.RULERS)}
+    ends = [(who, f"{who}#{office}", *((None,) * 3 if end is None else (rank[end[0]], *end[1:]))) for who, phases in L.TENURE.items() for end, office, _ in phases]
+    rows = ends + [(who, who, None, None, None) for who in L.OFFICE_OF if who not in L.TENURE]
+    given = spark.createDataFrame(rows, "name string, official string, r_idx int, year int, month int")
+    return given.select("name", "official", F.when(F.col("r_idx").isNotNull(), _date_ordinal(F.col("r_idx"), F.col("year"), F.col("month"))).alias("until"))
+
+
+def official_mentions(extracted: DataFrame, tenure: DataFrame | None = None) -> DataFrame:
+    """tablet_id, seq, role, official, period and its ordinal: every mention of a known official in a dated tablet, by the phase of tenure (as tenure_table) that its date falls in."""
+    at = _date_ordinal(F.col("r_idx"), F.col("regnal_year"), F.col("month_number"))
+    base = dated(extracted).select("tablet_id", at.alias("at"), F.col("period_y").alias("period"), (F.col("r_idx") * 100 + F.col("regnal_year")).cast("long").alias("ord"), F.posexplode("persons").alias("seq", "p"))
+    named = base.where(F.col("p.role").isin("source", "receiver", "intermediary")).select("tablet_id", "seq", F.col("p.role").alias("role"), F.col("p.name").alias("name"), "at", "period", "ord")
+    met = as_of(named, tenure_table(extracted.sparkSession) if tenure is None else tenure, "name", "at", "until")
+    return met.where("official is not null").select("tablet_id", "seq", "role", "official", "period", "ord")
 
 
 def officials(extracted: DataFrame) -> DataFrame:
