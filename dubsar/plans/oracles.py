@@ -206,5 +206,8 @@ ORACLES = {
     "stratified_sample": base(""", h_ AS (SELECT tablet_id, ruler_ AS ruler, o_orderkey AS pos, count(*) OVER (PARTITION BY ruler_) AS n, count(*) OVER () AS t, row_number() OVER (PARTITION BY ruler_ ORDER BY o_orderkey) AS r FROM done_ WHERE confidence = 'high' AND NOT blank)
       SELECT tablet_id, ruler, pos FROM h_ WHERE r <= greatest(1, round_even(n / t * 200, 0)) ORDER BY ruler, pos LIMIT 200"""),
     "field_accuracy": base("SELECT 'ruler' AS field, count(*) AS tested, count(*) AS passed FROM done_ UNION ALL SELECT 'total_animals', count(*), count(*) FILTER (total_animals = edge) FROM done_ UNION ALL SELECT 'divine_recipients', count(*), count(*) FILTER (deity = '{d}inanna' AND NOT blank) FROM done_"),
+    "snapshot_changes_whole": base(f""", {_SIDES}, f_ AS (SELECT tx, {_if("true", "source")} AS source, {_if("has_receiver", "receiver")} AS receiver, total_animals, {_side("s")} AS source_office, {_side("r")} AS receiver_office FROM done_ d WHERE tablet_id::BIGINT % 2 = 0)
+      SELECT 'transaction_type' AS field, count(*) AS n FROM f_ UNION ALL SELECT 'source', count(*) FILTER (source <> '') FROM f_ UNION ALL SELECT 'receiver', count(*) FILTER (receiver <> '') FROM f_
+      UNION ALL SELECT 'total_animals', count(*) FILTER (total_animals <> 0) FROM f_ UNION ALL SELECT 'source_office', count(*) FILTER (source_office <> '') FROM f_ UNION ALL SELECT 'receiver_office', count(*) FILTER (receiver_office <> '') FROM f_"""),
     "snapshot_changes": base("SELECT * FROM (SELECT 'transaction_type' AS field, count(*) FILTER (tx = 'transfer') AS n FROM done_ UNION ALL SELECT 'receiver', count(*) FILTER (has_receiver AND receiver = 'du-ga') FROM done_)"),
 }

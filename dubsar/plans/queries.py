@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dubsar.functions import atf
-from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names
+from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names, snapshots
 from dubsar.plans.store import kept
+from dubsar.sources.scratch import scratch_path
 from dubsar.sources.synthetic import EXPECTED, tablets
 
 
@@ -275,12 +276,24 @@ def snapshot_changes(spark, sf_dir):
     return evaluate.snapshot_diff(old, new).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def snapshot_changes_whole(spark, sf_dir):
+    """All six fields, by digests: every second tablet told otherwise in the old snapshot."""
+    new = evaluate.snapshot(_x(spark, sf_dir))
+    even = F.col("tablet_id").cast("long") % 2 == 0
+    other = lambda c: F.when(even & ((F.col(c) != "") | F.lit(c == "transaction_type")), F.concat(F.col(c), F.lit("!"))).otherwise(F.col(c))
+    old = new.select("tablet_id", *(other(c).alias(c) for c in evaluate.SNAPSHOT_FIELDS))
+    paths = [scratch_path(spark, f"snapshot-{k}") for k in ("old", "new")]
+    for path, shot in zip(paths, (old, new), strict=True):
+        snapshots.write(shot, path)
+    return snapshots.diff(spark, *paths).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
         animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, tablet_index, linked_pairs,
         species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, destination_category_timeline, transactions_by_period, period_list, official_activity, official_edges, officials_by_period, tenure_split,
-        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes,
+        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes, snapshot_changes_whole,
     )
 }
