@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import bind, chain, first, found, has, lookup, matches, q, starts, strings, strip, total, whole, words
 
+# Patterns of the text format.
 _UNIT = "|".join(q(u) for u in sorted(L.UNITS, key=len, reverse=True))
 NUMERAL = rf"\d+\((?:{_UNIT})\)"
 RUN = rf"{NUMERAL}(?:\s+(?:la2\s+)?{NUMERAL})*"

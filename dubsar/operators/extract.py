@@ -16,6 +16,7 @@ from dubsar.functions import lexicon as L
 from dubsar.functions.columns import any_of, bind, chain, first, found, has, last, lookup, matches, q, starts, strings, strip, total, words
 from dubsar.sources.scratch import stored
 
+# Fixed values throughout this module: the marks and patterns of lines are those of the text format and its records.
 PERSON = "struct<name:string,role:string,title:string,normalized_name:string,name_type:string>"
 ANIMAL = "struct<count:bigint,animal:string,qualifiers:array<string>,raw:string,damaged:boolean,is_imputed:boolean,imputed_count:bigint>"
 _OPTIONAL = {"designation": "", "transliteration": "", "date_of_origin": "", "dates_referenced": ""}

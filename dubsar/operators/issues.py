@@ -9,6 +9,7 @@ from dubsar.functions import atf
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import any_of, bind, has, matches, starts, words
 
+# Fixed values in this module: types, severities and messages of issues.
 ISSUE = "struct<type:string,severity:string,line:string,message:string>"
 _DAMAGE = ("x", "...", "n", "xx", "X", "&")
 
