@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import bind, chain, first, found, has, last, lookup, matches, q, starts, strip, words
+from dubsar.operators.names import without_suffix
 
 _SKIP = "skip"
 
@@ -44,8 +45,7 @@ def _known_prefix(prefix: Column, names: Column, dictionary: Column | None) -> C
 
 def _entry(table: Column, key: Column) -> Column:
     """Dictionary entry of a token: as it is, else without a case suffix."""
-    cut = (F.when(F.endswith(key, F.lit(s)), table[F.left(key, F.length(key) - len(s))]) for s in L.CASE_SUFFIXES)
-    return F.coalesce(table[key], *cut)
+    return F.coalesce(table[key], table[without_suffix(key, L.CASE_SUFFIXES)])
 
 
 def split_tokens(body: Column, names: Column, dictionary: Column | None = None) -> Column:

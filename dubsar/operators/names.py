@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
-from dubsar.functions.columns import lookup, strip
+from dubsar.functions.columns import lookup, q, strip
 
 NAMES = "form string, canonical string, pos string, category string, attestations bigint"
-#: Dictionary rows broadcast at most; a larger one is joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Bytes of a dictionary that is broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 64 << 20
 
 
 LEMMAS = "doc string, seq long, form string, cf string, gw string, pos string, epos string"
@@ -252,23 +252,44 @@ def top_names(names: DataFrame, pos: str = "PN", k: int = 20) -> DataFrame:
     return names.where(F.col("pos") == pos).orderBy(F.desc("attestations"), "form").limit(k)
 
 
+def without_suffix(form: Column, suffixes: list[str]) -> Column:
+    """A form without its case suffix, null if it has none. Suffixes are single parts after a hyphen, so the last part decides."""
+    last = F.substring_index(form, "-", -1)
+    return F.when(F.contains(form, F.lit("-")) & last.isin([s[1:] for s in suffixes]), F.left(form, F.length(form) - F.length(last) - 1))
+
+
 def candidates(name: Column) -> Column:
-    """Keys to look a name up by, best first: as written, in ASCII, then each without a case suffix."""
+    """Keys to look a name up by, best first: as written, in ASCII, then each without its case suffix."""
     clean = atf.clean_form(name)
     forms = [clean, atf.to_ascii(clean)]
-    cut = [F.when(F.endswith(f, F.lit(s)), F.left(f, F.length(f) - len(s))) for f in forms for s in L.DICTIONARY_SUFFIXES]
-    return F.filter(F.array(*forms, *cut), lambda x: x.isNotNull())
+    return F.filter(F.array(*forms, *(without_suffix(f, L.DICTIONARY_SUFFIXES) for f in forms)), lambda x: x.isNotNull())
+
+
+def stem(form: Column) -> Column:
+    """What all candidates of a name have in common: in ASCII, without any case suffixes at the end."""
+    return F.regexp_replace(atf.to_ascii(form), "(?:" + "|".join(q(s) for s in L.DICTIONARY_SUFFIXES) + ")+$", "")
 
 
 def look_up(named: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
-    """named with canonical, pos, category and attestations, null where no key is known."""
-    distinct = named.select(F.col(name).alias("_name")).distinct()
-    keys = distinct.select("_name", F.posexplode(candidates(F.col("_name"))).alias("prio", "form"))
-    side = F.broadcast(names) if names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else names
-    hit = keys.join(side, "form").groupBy("_name").agg(F.min_by(F.struct("canonical", "pos", "category", "attestations"), "prio").alias("e"))
+    """named with canonical, pos, category and attestations, null where no key is known.
+
+    One probe a name: a name and every form that it may stand for share a stem, by which they are joined; the best
+    candidate among the few forms of that stem is kept.
+    """
+    asked = named.select(F.col(name).alias("_name")).distinct()
+    asked = asked.select("_name", stem(atf.clean_form(F.col("_name"))).alias("_stem"), candidates(F.col("_name")).alias("_keys"))
+    known = names.withColumn("_stem", stem(F.col("form")))
+    hit = asked.join(F.broadcast(known) if _is_small(names) else known, "_stem").withColumn("_at", F.array_position("_keys", F.col("form"))).where("_at > 0")
+    hit = hit.groupBy("_name").agg(F.min_by(F.struct("canonical", "pos", "category", "attestations"), "_at").alias("e"))
     return named.join(hit, named[name] == hit["_name"], "left").drop("_name").select(*named.columns, "e.*")
 
 
+def _is_small(names: DataFrame) -> bool:
+    """Whether a dictionary takes MOST_BROADCAST bytes at most, by what its strings and numbers measure."""
+    strings_ = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("form", "canonical", "pos", "category")), F.lit(0))
+    return (names.agg(F.sum(2 * strings_ + 120)).first()[0] or 0) <= MOST_BROADCAST  # a row holds form and stem, and what surrounds them
+
+
 def normalize_persons(extracted: DataFrame, names: DataFrame, row: str = "pos") -> DataFrame:
     """extracted with canonical names and name types filled in where the dictionary knows a person.
 
