@@ -22,7 +22,8 @@ an item is compared as a whole.
 Items go to the workers in blocks of bounded size; more items mean more passes, not
 more memory. Defined results: null or blank texts match nothing on either side;
 empty tables give an empty result; repeated documents each give their rows;
-repeated items are reported each under its id; items of null id are left out; of windows
+repeated items are reported each under its id; items of null id are searched like
+others and reported under a null one; of windows
 of equal similarity the first is reported; columns other than id and text are not read.
 """
 
@@ -201,10 +202,10 @@ class Items:
                         found[item] = (value, lo + p, size + WORDS - 1)
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Item rows in blocks of at most BLOCK_CHARS characters, streamed partition by partition."""
     block, size = [], 0
-    for r in items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
+    for r in items.where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
         if block and size + len(r["text"]) > BLOCK_CHARS:
             yield block
             block, size = [], 0

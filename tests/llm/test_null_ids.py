@@ -22,3 +22,12 @@ def test_documents_of_null_id(spark):
     items = spark.createDataFrame([(5, text(3)), (6, text(4))], "item_id long, text string")
     clean = sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.decontaminate(docs, items).collect())
     assert clean == sorted([(1, text(1)), (0, text(1)), (0, text(2)), (0, text(2)), (0, ""), (0, "")])
+
+
+def test_items_without_id_are_found(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    docs = spark.createDataFrame([(1, text(1)), (2, "before " + text(2) + " after"), (3, text(3)), (4, "short item")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text(1)), (7, text(2)), (None, text(2)), (None, None), (None, "short item")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == sorted([(1, None), (2, 7), (2, None), (4, None)], key=str)
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [3]
