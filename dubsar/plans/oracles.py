@@ -167,6 +167,7 @@ ORACLES = {
       FROM r_ a JOIN r_ b ON a.ruler_ = b.ruler_ AND a.reign_ = b.reign_ AND a.month_ = b.month_ AND a.day_ = b.day_ AND a.resolved = b.resolved AND a.o_orderkey < b.o_orderkey
       WHERE a.source = b.source OR coalesce(a.rcv = b.rcv, false)"""),
     "species_timeline": base(_timeline("SELECT key, n, period_y, period_m FROM contrib_", _SPECIES_CATEGORY, 2)),
+    "maintained_timeline": base(_timeline("SELECT key, n, period_y, period_m FROM contrib_", _SPECIES_CATEGORY, 2)),
     "species_timeline_external": base(_timeline(f"SELECT key, n, period_y, period_m FROM contrib_ WHERE {_EXTERNAL} AND tablet NOT IN ('1', '2', '4')", _SPECIES_CATEGORY, 2)),
     "timeline_totals": base(""", keys_ AS (SELECT key FROM contrib_ GROUP BY key HAVING count(*) >= 2), u_ AS (
       SELECT 'year' AS granularity, period_y AS period, n, tablet, key FROM contrib_ UNION ALL SELECT 'month', period_m, n, tablet, key FROM contrib_)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dubsar.functions import atf
-from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, names, snapshots
+from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, maintained, names, snapshots
 from dubsar.plans.store import kept
 from dubsar.sources.scratch import scratch_path
 from dubsar.sources.synthetic import EXPECTED, tablets
@@ -288,12 +288,22 @@ def snapshot_changes_whole(spark, sf_dir):
     return snapshots.diff(spark, *paths).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def maintained_timeline(spark, sf_dir):
+    """species_timeline, from a state in which every hundredth tablet stood otherwise, brought up to date by their deltas alone."""
+    now = _contrib(spark, sf_dir)
+    touched = F.col("pos") % 100 == 0
+    before = now.where(~touched | (F.col("seq") > 0)).withColumn("count", F.when(touched, F.col("count") * 3 + 1).otherwise(F.col("count")))
+    maintained.create(before, path := scratch_path(spark, "maintained"))
+    maintained.update(spark, path, before.where(touched), now.where(touched))
+    return maintained.timeline(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
         animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, tablet_index, linked_pairs,
-        species_timeline, species_timeline_external, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, destination_category_timeline, transactions_by_period, period_list, official_activity, official_edges, officials_by_period, tenure_split,
+        species_timeline, species_timeline_external, maintained_timeline, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, destination_category_timeline, transactions_by_period, period_list, official_activity, official_edges, officials_by_period, tenure_split,
         corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes, snapshot_changes_whole,
     )
 }
