@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dubsar.functions import lexicon as L
-from dubsar.sources.synthetic import EXPECTED, ORACLE_BASE, SPECIES
+from dubsar.sources.synthetic import _ITEM_TEXT, EXPECTED, ORACLE_BASE, SPECIES
 
 
 def base(select: str) -> str:
@@ -118,6 +118,7 @@ _NAMES = r"""WITH t AS (
 
 ORACLES = {
     "animal_totals_by_species": base("SELECT species AS animal, count(*) AS n_entries, sum(n)::BIGINT AS total FROM entries_ GROUP BY species"),
+    "csv_documents": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars FROM documents",
     "content_lines": base("SELECT tablet_id, CASE WHEN blank THEN 0 ELSE n_items + len(reverse) END AS n_lines, CASE WHEN blank THEN 0 ELSE n_damaged + n_lost END AS n_damaged FROM done_"),
     "damage_strip": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<<[^>]*>>', '', 'g'), '<([^>]*)>', '\1', 'g'), '\[([^\]]*)\]', '\1', 'g'), '[#?!]', '', 'g'), '\s+', ' ', 'g'))) AS stripped FROM documents""",
     "damage_report": base("SELECT tablet_id, CASE WHEN blank THEN 0 ELSE n_damaged END AS damaged_signs, CASE WHEN blank THEN 0 ELSE n_lost END AS broken_signs, CASE WHEN with_break AND NOT blank THEN 1 ELSE 0 END AS missing_lines, round(preservation * 1000)::BIGINT AS preservation_1000 FROM done_"),
@@ -191,6 +192,10 @@ ORACLES = {
       SELECT 'total_mismatch' AS type, CASE WHEN abs(edge - total_animals) <= 2 THEN 'info' WHEN preservation < 0.8 THEN 'warning' WHEN abs(edge - total_animals) > 5 THEN 'error' ELSE 'warning' END AS severity FROM done_ WHERE edge > 0 AND total_animals > 0 AND edge <> total_animals AND preservation >= 0.6
       UNION ALL SELECT 'implicit_count', 'info' FROM entries_ WHERE kind IN ('implied', 'lost')
       UNION ALL SELECT 'possible_theophoric', 'info' FROM done_ WHERE deity = '{d}inanna' AND NOT blank) GROUP BY 1, 2"""),
+    "issue_lines": base(f"""SELECT tablet_id, 'total_mismatch' AS type, CASE WHEN abs(edge - total_animals) <= 2 THEN 'info' WHEN preservation < 0.8 THEN 'warning' WHEN abs(edge - total_animals) > 5 THEN 'error' ELSE 'warning' END AS severity,
+        edge::STRING AS line, 'Edge total ' || edge || ' ≠ extracted total ' || total_animals || ' (diff=' || abs(edge - total_animals) || ')' AS message FROM done_ WHERE edge > 0 AND total_animals > 0 AND edge <> total_animals AND preservation >= 0.6
+      UNION ALL SELECT tablet_id, 'implicit_count', 'info', {_ITEM_TEXT}, 'Implicit count=1 for ' || species FROM items_ JOIN tabs_ ON l_orderkey = o_orderkey WHERE NOT blank AND (kind = 'lost' OR (kind = 'implied' AND NOT with_summary))
+      UNION ALL SELECT tablet_id, 'possible_theophoric', 'info', 'mu en-{{d}}inanna ba-hun', 'Deity {{d}}inanna may be part of a personal name' FROM done_ WHERE deity = '{{d}}inanna' AND NOT blank"""),
     "name_dictionary": _NAMES + "SELECT * FROM names",
     "name_summary": _NAMES + "SELECT 'forms' AS measure, '' AS key, count(*)::BIGINT AS value FROM names UNION ALL SELECT 'attestations', '', sum(attestations)::BIGINT FROM names UNION ALL SELECT 'category', category, count(*) FROM names GROUP BY category UNION ALL SELECT 'pos', pos, count(*) FROM names GROUP BY pos",
     "name_lookup": _NAMES + "SELECT s_suppkey, canonical, pos, attestations FROM supplier LEFT JOIN names ON form = CASE s_suppkey % 3 WHEN 1 THEN 'lu2-sza' ELSE 'lu₂-ša' END || (s_suppkey % 15)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dubsar.functions import atf
 from dubsar.operators import analytics, annotate, evaluate, extract, flatten, issues, linkage, maintained, names, snapshots
 from dubsar.plans.store import kept
+from dubsar.sources import readers
 from dubsar.sources.scratch import scratch_path
 from dubsar.sources.synthetic import EXPECTED, tablets
 
@@ -185,6 +186,11 @@ def _lemmas(spark, sf_dir):
     )
 
 
+def issue_lines(spark, sf_dir):
+    """Every issue with its line and message."""
+    return issues.issues(_x(spark, sf_dir)).select("tablet_id", "type", "severity", "line", "message")
+
+
 def name_dictionary(spark, sf_dir):
     return names.build_names(_lemmas(spark, sf_dir))
 
@@ -298,12 +304,20 @@ def maintained_timeline(spark, sf_dir):
     return maintained.timeline(spark, path)
 
 
+def csv_documents(spark, sf_dir):
+    """Documents written as CSV, cells of many lines and quotes in them, and read back from all splits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.csv(path := scratch_path(spark, "documents-csv"), header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = readers.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        animal_totals_by_species, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
+        animal_totals_by_species, csv_documents, content_lines, damage_strip, damage_report, edge_totals, transaction_types, date_fields, date_codes, persons_by_role, office_routing,
         animal_qualifiers, implicit_and_broken_entries, summary_mode, destinations, divine_recipients, imputed_totals, extraction_scores, flat_records, flat_records_whole, tablet_index, linked_pairs,
         species_timeline, species_timeline_external, maintained_timeline, timeline_totals, top_contributors, timeline_cell, deity_timeline, destination_timeline, destination_category_timeline, transactions_by_period, period_list, official_activity, official_edges, officials_by_period, tenure_split,
-        corpus_stats, data_quality_issues, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes, snapshot_changes_whole,
+        corpus_stats, data_quality_issues, issue_lines, name_dictionary, name_summary, name_lookup, normalized_persons, top_names, glossary_categories, lemma_walk, token_roles, line_types, person_summaries, plain_summary, stratified_sample, field_accuracy, field_accuracy_whole, snapshot_changes, snapshot_changes_whole,
     )
 }
