@@ -1,9 +1,9 @@
 """The tablet pipeline: one wide row of facts per text.
 
 What a line says depends on the line alone, on a few kinds of lines also on the one
-before. extract_tablets() therefore works it out once for each distinct line of the
-whole corpus (a table of lines addressed by content), and joins it back to the texts.
-extract() does the same inside the row, without a shuffle: for streams and small tables.
+before. extract_tablets() therefore works it out once for each frequent line of the
+whole corpus and hands that to all tasks; other lines are worked out where they stand.
+extract() does so with all lines, in one pass: for streams and small tables.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import any_of, bind, chain, first, found, has, last, lookup, matches, q, starts, strings, strip, total, words
-from dubsar.sources.scratch import stored
+from dubsar.sources.scratch import shared_table, stored
 
 # Fixed values throughout this module: the marks and patterns of lines are those of the text format and its records.
 PERSON = "struct<name:string,role:string,title:string,normalized_name:string,name_type:string>"
@@ -329,70 +329,65 @@ def extract(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFram
     return _assembled(parts, given.columns, date_column)
 
 
-#: A line is hot from this share of all lines on; so hot lines are at most as many as its inverse, and are broadcast.
-HOT = 1 / 2000
+#: A line is hot from this share of all lines on; so hot lines are at most as many as its inverse.
+HOT = 1 / 20_000
+#: Hot lines of more characters are worked out in the row, like rare ones; so what goes to every task is bounded.
+LONGEST_HOT = 1_000
 
 
 def line_table(lines: DataFrame) -> DataFrame:
-    """n and facts (say, signs, value) of each distinct row of lines: kind (c content, o other, e edge), raw, prev, later.
+    """n of each distinct row of lines: kind (c content, o other, e edge), raw, prev, later.
 
     id addresses a row by content: a digest of the four.
     """
-    distinct = lines.groupBy("kind", "raw", "prev", "later").agg(F.count(F.lit(1)).alias("n")).withColumn("id", _line_id())
-    # Few bytes may be much work: deal them out by number, which adaptive execution leaves alone.
-    distinct = distinct.repartition(max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "id")
-    prev = F.when(F.col("prev").isNull(), "").otherwise(atf.without_damage(F.col("prev")))
-    distinct = distinct.withColumns({"line": _cleaned(F.col("raw")), "before": prev})
-    facts = F.struct(
-        F.when(F.col("kind") == "c", line_facts(F.col("line"), F.col("before"), F.col("later"))).alias("say"),
-        F.when(F.col("kind") != "e", atf.line_damage(F.col("raw"))).alias("signs"),
-        F.when(F.col("kind") == "e", atf.line_number_value(F.col("raw"))).alias("value"),
-    )
-    return distinct.select("id", "n", facts.alias("facts"))
+    return lines.groupBy("kind", "raw", "prev", "later").agg(F.count(F.lit(1)).alias("n")).withColumn("id", _line_id())
 
 
 def _line_id() -> Column:
     return F.unhex(F.md5(F.concat("kind", F.col("later").cast("string"), F.octet_length("raw").cast("string"), F.lit(":"), F.col("raw"), F.coalesce(F.concat(F.lit("<"), F.col("prev")), F.lit("")))))
 
 
+def _said(raw: Column, prev: Column, later: Column) -> Column:
+    """say and signs of a content line by its neighbour, each part evaluated once."""
+    before = F.when(prev.isNull(), "").otherwise(atf.without_damage(prev))
+    return bind(_cleaned(raw), lambda line: bind(before, lambda b: F.struct(line_facts(line, b, later).alias("say"), atf.line_damage(raw).alias("signs"))))
+
+
 def extract_tablets(tablets: DataFrame, date_column: str = "date_of_origin") -> DataFrame:
     """What extract() gives, over a table of distinct lines; the order of rows is free.
 
-    Two tables are stored: the texts, cut into lines, with a row number, and the facts of distinct lines. Lines meet their facts
-    by digest; those that make up HOT of all lines or more do so by a broadcast of at most 1 / HOT rows, so no frequent line
-    gathers in one task. One shuffle by row number puts a text's lines together again.
+    Texts are stored, cut into lines, and their distinct lines counted. What the hot ones say (those that make up HOT of all lines or
+    more, 1 / HOT rows at most) is worked out once, by rows, and goes to every task as one value; a line is found there by its hash.
+    All others are worked out where they stand. So no line leaves its text, and what is shuffled is a count of each task's distinct lines.
     """
     given = with_defaults(tablets)
     columns = given.columns
-    given = given.withColumn("transliteration", strip(F.col("transliteration"))).select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("given"))
-    texts = stored(given.withColumn("cut", atf.sections(atf.stripped_lines(F.col("given.transliteration")))), "texts")
-    cut = texts.select("row", "cut")
-    content = F.transform("cut.content", lambda x, i: F.struct(
-        F.lit("c").alias("kind"), i.alias("i"), x["raw"].alias("raw"), F.when((i > 0) & looks_back(x["raw"]), F.get("cut.content", i - 1)["raw"]).alias("prev"),
-        ((i > 0) & looks_back(x["raw"])).alias("later"), x["numbered"].alias("numbered")))
-    plain = lambda c, kind: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("raw"), F.lit(None).cast("string").alias("prev"), F.lit(False).alias("later"), F.lit(True).alias("numbered")))
-    lines = cut.select("row", F.inline(F.concat(content, plain("cut.other", "o"), plain("cut.edge", "e"))))
-
-    facts = stored(line_table(lines), "lines")
-    n = facts.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") >= max(2, int(n * HOT))
-    hot = facts.where(is_hot).select("id", F.col("facts").alias("hot_facts"))
-    asked = lines.select("row", "kind", "i", "numbered", _line_id().alias("id")).join(F.broadcast(hot.select("id", F.lit(True).alias("is_hot"))), "id", "left")
-    # A hot line asks for an id that no line has, another one in each row, so that it falls into any partition.
-    spread = F.when(F.col("is_hot"), F.unhex(F.md5(F.concat_ws(",", F.lit("hot"), "row", "kind", "i")))).otherwise(F.col("id"))
-    met = asked.withColumn("asked", spread).join(facts.where(~is_hot).select(F.col("id").alias("asked"), "facts"), "asked", "left")
-    met = met.join(F.broadcast(hot), "id", "left").select("row", "kind", "i", "numbered", F.coalesce("facts", "hot_facts").alias("facts"))
-
-    heads = texts.select("row", "given", F.col("cut.n_notes").alias("n_notes"), *(F.lit(None).cast(t).alias(c) for c, t in met.dtypes if c != "row"))
-    whole = heads.unionByName(met.withColumns({"given": F.lit(None).cast(texts.schema["given"].dataType), "n_notes": F.lit(None).cast("long")})).groupBy("row").agg(
-        F.first("given", ignorenulls=True).alias("given"), F.max("n_notes").alias("_notes"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "i", "numbered", "facts")))).alias("lines"),
-    )
-    of = lambda kind: F.filter("lines", lambda x: x["kind"] == kind)
+    given = given.withColumn("transliteration", strip(F.col("transliteration"))).select(F.struct(*columns).alias("given"))
+    cut = given.select("given", atf.sections(atf.stripped_lines(F.col("given.transliteration"))).alias("cut"))
+    back = F.transform("cut.content", lambda x, i: (i > 0) & looks_back(x["raw"]))
+    content = F.transform(F.arrays_zip(F.col("cut.content").alias("x"), F.col("back").alias("later")), lambda z, i: F.struct(
+        z["x"]["raw"].alias("raw"), F.when(z["later"], F.get("cut.content", i - 1)["raw"]).alias("prev"), z["later"].alias("later"), z["x"]["numbered"].alias("numbered")))
+    texts = stored(cut.withColumn("back", back).select("given", content.alias("content"), "cut.other", "cut.edge", "cut.n_notes"), "texts")
+
+    row = lambda kind, raw, prev, later: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), prev.alias("prev"), later.alias("later"))
+    plain = lambda c, kind: F.transform(c, lambda x: row(kind, x, F.lit(None).cast("string"), F.lit(False)))
+    lines = texts.select(F.inline(F.concat(F.transform("content", lambda x: row("c", x["raw"], x["prev"], x["later"])), plain("other", "o"), plain("edge", "e"))))
+    counted = stored(line_table(lines), "lines")
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where((F.col("n") >= max(2, int(n * HOT))) & (F.col("kind") == "c") & (F.length("raw") + F.coalesce(F.length("prev"), F.lit(0)) <= LONGEST_HOT)).select("raw", "prev", "later")
+    # Few bytes may be much work: deal them out by number, which adaptive execution leaves alone.
+    hot = hot.repartition(max(int(tablets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "raw", "prev", "later")
+    before = F.when(F.col("prev").isNull(), "").otherwise(atf.without_damage(F.col("prev")))
+    hot = hot.withColumns({"line": _cleaned(F.col("raw")), "before": before})
+    hot = hot.select("raw", "prev", "later", F.struct(line_facts(F.col("line"), F.col("before"), F.col("later")).alias("say"), atf.line_damage(F.col("raw")).alias("signs")).alias("facts"))
+    known = shared_table(stored(hot, "hot-lines"), "raw", "prev", "later")
+
+    met = F.transform("content", lambda x: F.struct(F.coalesce(known(x["raw"], x["prev"], x["later"])["facts"], _said(x["raw"], x["prev"], x["later"])).alias("facts"), x["numbered"].alias("numbered")))
+    whole = texts.select("given", met.alias("met"), "other", "edge", "n_notes")
+    signs = F.transform(F.filter("met", lambda x: x["numbered"]), lambda x: x["facts"]["signs"])
     parts = whole.select(
-        "given.*", F.transform(of("c"), lambda x: x["facts"]["say"]).alias("_facts"),
-        F.transform(F.filter("lines", lambda x: x["numbered"] & (x["kind"] != "e")), lambda x: x["facts"]["signs"]).alias("_signs"),
-        F.transform(of("e"), lambda x: x["facts"]["value"]).alias("_edge"), "_notes",
+        "given.*", F.transform("met", lambda x: x["facts"]["say"]).alias("_facts"), F.concat(signs, F.transform("other", atf.line_damage)).alias("_signs"),
+        F.transform("edge", atf.line_number_value).alias("_edge"), F.col("n_notes").alias("_notes"),
     )
     return _assembled(parts, columns, date_column)
 

@@ -21,7 +21,7 @@ def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
     if key not in _PATHS:
         df = make()
         path = f"{shared_folder(spark)}/dubsar-kept-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         _PATHS[key] = (path, df.schema)
     path, schema = _PATHS[key]
     return spark.read.schema(schema).parquet(path)

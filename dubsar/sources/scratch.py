@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,5 +29,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: lineage ends there, and lost executors lose nothing."""
-    df.write.parquet(path := scratch_path(df.sparkSession, name))
+    df.write.option("compression", "zstd").parquet(path := scratch_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_table(rows: DataFrame, *keys: str) -> Callable[..., Column]:
+    """rows, of bounded number and size and with distinct keys, as one value that goes to all tasks; gives a function from keys to the row, null where there is none.
+
+    The value is an array of buckets by hash, so that a row is found without a join wherever an expression can stand, inside arrays too.
+    """
+    spark = rows.sparkSession
+    size = 1 << max(rows.count(), 1).bit_length()
+    at = lambda *c: F.pmod(F.xxhash64(*c), F.lit(size))
+    held = rows.groupBy(at(*keys).alias("at")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    buckets = spark.range(size).join(held, F.col("id") == F.col("at"), "left").select("id", F.coalesce("rows", F.array().cast(held.schema["rows"].dataType)).alias("rows"))
+    one = buckets.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "rows"))), lambda b: b["rows"]).alias("table"))
+    # Inside arrays a literal can stand where a subquery cannot; the optimizer reads this one once.
+    table = F.from_json(F.lit(one.select(F.to_json(F.struct("table"))).first()[0]), one.schema)["table"]
+
+    def find(*c: Column) -> Column:
+        def among(bucket: Column) -> Column:
+            same = lambda r: [r[k].eqNullSafe(v) for k, v in zip(keys, c, strict=True)]
+            return F.get(F.filter(bucket, lambda r: reduce(Column.__and__, same(r))), F.lit(0))
+
+        return F.get(F.transform(F.array(F.get(table, at(*c).cast("int"))), among), F.lit(0))
+
+    return find
