@@ -7,13 +7,17 @@ are maps on one broadcast row, or absent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dubsar.functions import atf
 from dubsar.functions import lexicon as L
 from dubsar.functions.columns import bind, chain, first, found, has, last, lookup, matches, q, starts, strip, words
+from dubsar.operators import extract
 from dubsar.operators.names import without_suffix
+from dubsar.sources.scratch import shared_table, stored
 
 _SKIP = "skip"
 
@@ -81,8 +85,9 @@ def _year_line(low: Column) -> Column:
     return starts(rest, *_YEAR_STARTS) | has(rest, "-ki ", "ba-hul", "ba-ab-du8") | (F.size(words(low)) >= 5)
 
 
-def _rolled(tokens: Column, line_low: Column, names: Column, details: Column, animal_line: Column, dictionary: Column | None, glossary: Column | None) -> Column:
+def _rolled(tokens: Column, line_low: Column, names: Column, people: Column, animal_line: Column, dictionary: Column | None, glossary: Column | None) -> Column:
     """role and detail of each token."""
+    detail_of = lambda n: F.coalesce(_of_person(people, n, "en"), F.lit(""))
     pair = lambda role, detail: F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
     year_at_start = (F.get(tokens, F.lit(0))["low"] == "mu") & _year_line(line_low)
 
@@ -111,8 +116,8 @@ def _rolled(tokens: Column, line_low: Column, names: Column, details: Column, an
                 ((low == "mu") & (i == 0), F.when(_year_line(line_low), pair("structural_keyword", "year_marker")).otherwise(pair("text", ""))),
                 (low.isin(*L.MONTHS), pair("month", F.concat(F.lit("month "), lookup(low, L.MONTHS, 0).cast("string")))),
                 (low.isin(*L.TEMPLES), pair("structural_keyword", F.concat(F.lit("temple: "), lookup(low, L.TEMPLES)))),
-                (F.array_contains(names, low), pair("person", F.coalesce(details[low], F.lit("")))),
-                (own.isNotNull(), pair("person", F.concat(F.coalesce(details[own], F.lit("")), F.lit(" ("), own, F.lit(")")))),
+                (F.array_contains(names, low), pair("person", detail_of(low))),
+                (own.isNotNull(), pair("person", F.concat(detail_of(own), F.lit(" ("), own, F.lit(")")))),
                 (part.isNotNull(), pair("person_part", F.concat(F.lit("part of "), part))),
                 (low.isin(*_LOW_OFFICIALS), pair("person", F.concat(F.lit("official ("), lookup(low, _LOW_OFFICIALS), F.lit(")")))),
                 (official != "", pair("person", F.concat(F.lit("official ("), lookup(official, _LOW_OFFICIALS), F.lit(", "), official, F.lit(")")))),
@@ -155,52 +160,120 @@ def _role_detail(p: Column, language: str) -> Column:
     return F.concat(named(p["role"], L.GLOSS), F.when(p["title"] != "", F.concat(F.lit(" ("), named(p["title"], L.GLOSS), F.lit(")"))).otherwise(""))
 
 
-def annotate(extracted: DataFrame, names: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
-    """tablet_id and annotated: an array of lines with type, section, raw, links and tokens.
+def _of_person(people: Column, name: Column, language: str) -> Column:
+    return first(F.filter(people, lambda p: p["name"] == name))[language]
 
-    names (form, canonical, pos) and glossary (atf, meaning) are gathered into one row
-    of two maps; they are lexicons of bounded size, not data.
-    """
-    df, dictionary, meanings = extracted, None, None
+
+def _known_people(people: Column) -> Column:
+    """name (in small letters), en and nl of each person; of one name the last role counts."""
+    low = lambda p: strip(F.lower(p["name"]))
+    of = lambda n: bind(last(F.filter(people, lambda p: low(p) == n)), lambda p: F.struct(n.alias("name"), _role_detail(p, "en").alias("en"), _role_detail(p, "nl").alias("nl")))
+    return F.transform(F.array_distinct(F.transform(people, low)), of)
+
+
+_TOLD = "struct<type:string,tokens:array<struct<text:string,role:string,detail:string,en:string,nl:string,damaged:boolean>>,links:array<struct<target:string,value:string,detail:string>>>"
+#: A line without any of these is whole: cleaning changes nothing, and what its tokens say in small letters stands in it.
+_UNEVEN = r"(?U)[<\[#?!Σ]|\s\s|[\s&&[^ ]]|^ | $"
+
+
+def _told(x: Column, dictionary: Column | None, meanings: Column | None) -> Column:
+    """type, tokens and links (those to animals apart) of a line: kind, raw, number, body, low, people, animal_line."""
+    note, content, people = x["kind"] == "damage_note", x["kind"] == "content", x["people"]
+    plain = lambda text, role, en="", nl="": F.struct(text.alias("text"), role.alias("role"), F.lit("").alias("detail"), F.lit(en).alias("en") if isinstance(en, str) else en.alias("en"), F.lit(nl).alias("nl") if isinstance(nl, str) else nl.alias("nl"), F.lit(False).alias("damaged"))
+    link = lambda target, value, extra: F.struct(F.lit(target).alias("target"), value.alias("value"), extra.alias("detail"))
+
+    def token(t: Column, r: Column) -> Column:
+        who = first(F.filter(people, lambda p: F.contains(t["low"], p["name"]) & (p["name"] != "")))
+        as_person = lambda lang: F.when((r["role"] == "person") & who.isNotNull(), who[lang])
+        en = F.coalesce(as_person("en"), translation(t["low"], r["role"], "en"))
+        nl = F.coalesce(as_person("nl"), translation(t["low"], r["role"], "nl"))
+        return F.struct(t["text"].alias("text"), r["role"].alias("role"), r["detail"].alias("detail"), F.when(en == "", r["detail"]).otherwise(en).alias("en"), nl.alias("nl"), has(t["text"], "[", "]", "#", "?").alias("damaged"))
+
+    def of_content(tokens: Column, roles: Column) -> Column:
+        numbered = F.when(x["number"] != "", F.array(plain(x["number"], F.lit("line_number")))).otherwise(F.array().cast("array<struct<text:string,role:string,detail:string,en:string,nl:string,damaged:boolean>>"))
+        toks = F.concat(numbered, F.transform(F.arrays_zip(tokens.alias("t"), roles.alias("r")), lambda z: token(z["t"], z["r"])))
+        marked = F.exists(roles, lambda r: (r["role"] == "structural_keyword") & (r["detail"] == "year_marker"))
+        folk = F.transform(F.filter(people, lambda p: F.contains(x["low"], p["name"])), lambda p: link("persons", p["name"], F.coalesce(p["en"], F.lit(""))))
+        deals = F.filter(F.array(*(F.when(has(x["low"], k), link("transaction", F.lit(v), F.lit(k))) for k, v in L.TX_KEYWORDS.items())), lambda v: v.isNotNull())
+        return F.struct(line_type(x["low"], marked).alias("type"), toks.alias("tokens"), F.concat(folk, deals).alias("links")).cast(_TOLD)
+
+    def by_names(names: Column) -> Column:
+        rolled = lambda tokens: bind(_rolled(tokens, x["low"], names, people, x["animal_line"], dictionary, meanings), lambda roles: of_content(tokens, roles))
+        return bind(split_tokens(x["body"], names, dictionary), rolled)
+
+    whole = plain(x["raw"], F.when(x["kind"] == "structural", "section_header").otherwise(x["kind"]), F.when(note, "broken/missing").otherwise(""), F.when(note, "gebroken/ontbrekend").otherwise(""))
+    other = F.struct(F.when(x["kind"] == "metadata", "metadata").otherwise("structural").alias("type"), F.array(whole).alias("tokens"), F.array().cast("array<struct<target:string,value:string,detail:string>>").alias("links")).cast(_TOLD)
+    return F.when(content, bind(F.transform(people, lambda p: p["name"]), by_names)).otherwise(other)
+
+
+def _prepared(extracted: DataFrame) -> DataFrame:
+    """tablet_id, beasts and lines, each with the people that it may name and whether its animals matter; of a whole line that is what it holds."""
+
+    def seen(x: Column, whole: Column, low: Column) -> Column:
+        content = x["kind"] == "content"
+        some = F.when(content & whole, F.filter("people", lambda p: F.contains(low, p["name"]))).when(content, F.col("people")).otherwise(F.slice("people", 1, 0))
+        # Only a measure, ga, is another thing in a line of animals.
+        beast = (~whole | F.contains(low, F.lit("ga"))) & F.exists("beasts", lambda a: F.contains(low, a["animal"]))
+        return F.struct(*(x[k].alias(k) for k in ("section", "kind", "raw", "number", "body")), low.alias("low"), some.alias("people"), F.coalesce(beast, F.lit(False)).alias("animal_line"))
+
+    line = lambda x: bind(~matches(x["body"], _UNEVEN), lambda whole: bind(F.lower(F.when(whole, x["body"]).otherwise(atf.without_damage(x["body"]))), lambda low: seen(x, whole, low)))
+    beasts = F.transform("animals", lambda a: F.struct(a["animal"].alias("animal"), F.lower(atf.without_damage(a["raw"])).alias("low")))
+    base = extracted.select("tablet_id", _known_people(F.col("persons")).alias("people"), beasts.alias("beasts"), lines_of(F.col("transliteration")).alias("lines"))
+    return base.select("tablet_id", "beasts", F.transform("lines", line).alias("lines"))
+
+
+def _with_lexicons(df: DataFrame, names: DataFrame | None, glossary: DataFrame | None) -> tuple[DataFrame, Column | None, Column | None]:
+    dictionary, meanings = None, None
     if names is not None:
         table = names.agg(F.map_from_entries(F.collect_list(F.struct(F.replace("form", F.lit("kuₓ"), F.lit("kux")).alias("form"), F.struct("canonical", "pos").alias("e")))).alias("_names"))
         df, dictionary = df.join(F.broadcast(table)), F.col("_names")
     if glossary is not None:
         df, meanings = df.join(F.broadcast(glossary.agg(F.map_from_entries(F.collect_list(F.struct("atf", "meaning"))).alias("_meanings")))), F.col("_meanings")
-    people = F.col("persons")
-    lows = F.transform(people, lambda p: strip(F.lower(p["name"])))
-    details = lambda lang: F.map_from_entries(F.transform(F.array_distinct(lows), lambda n: F.struct(n, _role_detail(last(F.filter(people, lambda p: strip(F.lower(p["name"])) == n)), lang))))
-    base = df.withColumns({"_lows": F.array_distinct(lows), "_en": details("en"), "_nl": details("nl"), "_lines": lines_of(F.col("transliteration"))})
-    tokens_of = lambda x: split_tokens(x["body"], F.col("_lows"), dictionary)
-    prepared = base.withColumn("_lines", F.transform("_lines", lambda x: F.struct(*(x[k].alias(k) for k in ("section", "kind", "raw", "number", "body")), F.lower(atf.without_damage(x["body"])).alias("low"), F.when(x["kind"] == "content", tokens_of(x)).otherwise(F.array().cast("array<struct<text:string,low:string>>")).alias("tokens"))))
-    animal_line = lambda low: F.exists("animals", lambda a: F.contains(low, a["animal"]))
-    rolled = prepared.withColumn("_lines", F.transform("_lines", lambda x: F.struct(*(x[k].alias(k) for k in ("section", "kind", "raw", "number", "low", "tokens")), _rolled(x["tokens"], x["low"], F.col("_lows"), F.col("_en"), animal_line(x["low"]), dictionary, meanings).alias("roles"))))
+    return df, dictionary, meanings
 
-    def token(t: Column, r: Column) -> Column:
-        who = first(F.filter(F.col("_lows"), lambda n: F.contains(t["low"], n) & (n != "")))
-        as_person = lambda lang: F.when((r["role"] == "person") & who.isNotNull(), F.col("_en" if lang == "en" else "_nl")[who])
-        en = F.coalesce(as_person("en"), translation(t["low"], r["role"], "en"))
-        nl = F.coalesce(as_person("nl"), translation(t["low"], r["role"], "nl"))
-        return F.struct(t["text"].alias("text"), r["role"].alias("role"), r["detail"].alias("detail"), F.when(en == "", r["detail"]).otherwise(en).alias("en"), nl.alias("nl"), has(t["text"], "[", "]", "#", "?").alias("damaged"))
 
-    plain = lambda text, role, en="", nl="": F.struct(text.alias("text"), role.alias("role"), F.lit("").alias("detail"), F.lit(en).alias("en") if isinstance(en, str) else en.alias("en"), F.lit(nl).alias("nl") if isinstance(nl, str) else nl.alias("nl"), F.lit(False).alias("damaged"))
+def _annotated(prepared: DataFrame, told: Callable[[Column], Column]) -> DataFrame:
+    link = lambda i: F.struct(F.lit("animals").alias("target"), i.cast("string").alias("value"), F.lit("").alias("detail"))
 
     def finished(x: Column) -> Column:
-        note = x["kind"] == "damage_note"
-        whole = F.array(plain(x["raw"], F.when(x["kind"] == "structural", "section_header").otherwise(x["kind"]), F.when(note, "broken/missing").otherwise(""), F.when(note, "gebroken/ontbrekend").otherwise("")))
-        numbered = F.when(x["number"] != "", F.array(plain(x["number"], F.lit("line_number")))).otherwise(F.array().cast("array<struct<text:string,role:string,detail:string,en:string,nl:string,damaged:boolean>>"))
-        toks = F.concat(numbered, F.transform(F.arrays_zip(x["tokens"].alias("t"), x["roles"].alias("r")), lambda z: token(z["t"], z["r"])))
-        marked = F.exists(x["roles"], lambda r: (r["role"] == "structural_keyword") & (r["detail"] == "year_marker"))
-        content = x["kind"] == "content"
-        kind = F.when(content, line_type(x["low"], marked)).when(x["kind"] == "metadata", "metadata").otherwise("structural")
-        link = lambda target, value, extra: F.struct(F.lit(target).alias("target"), value.alias("value"), extra.alias("detail"))
-        beasts = F.filter(F.transform("animals", lambda a, i: F.when(F.lower(atf.without_damage(a["raw"])) == x["low"], link("animals", i.cast("string"), F.lit("")))), lambda v: v.isNotNull())
-        folk = F.transform(F.filter(F.col("_lows"), lambda n: F.contains(x["low"], n)), lambda n: link("persons", n, F.coalesce(F.col("_en")[n], F.lit(""))))
-        deals = F.filter(F.array(*(F.when(has(x["low"], k), link("transaction", F.lit(v), F.lit(k))) for k, v in L.TX_KEYWORDS.items())), lambda v: v.isNotNull())
-        links = F.when(content, F.concat(beasts, folk, deals)).otherwise(F.array().cast("array<struct<target:string,value:string,detail:string>>"))
-        return F.struct(kind.alias("type"), x["section"].alias("section"), x["raw"].alias("raw"), F.when(content, toks).otherwise(whole).alias("tokens"), links.alias("links"))
+        beasts = F.filter(F.transform("beasts", lambda a, i: F.when((x["kind"] == "content") & (a["low"] == x["low"]), link(i))), lambda v: v.isNotNull())
+        return bind(told(x), lambda t: F.struct(t["type"].alias("type"), x["section"].alias("section"), x["raw"].alias("raw"), t["tokens"].alias("tokens"), F.concat(beasts, t["links"]).alias("links")))
+
+    return prepared.select(F.inline_outer(F.array(F.struct("tablet_id", F.transform("lines", finished).alias("annotated")))))
+
 
-    return rolled.select(F.inline_outer(F.array(F.struct("tablet_id", F.transform("_lines", finished).alias("annotated")))))
+def annotate(extracted: DataFrame, names: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
+    """tablet_id and annotated: an array of lines with type, section, raw, links and tokens.
+
+    names (form, canonical, pos) and glossary (atf, meaning) are gathered into one row
+    of two maps; they are lexicons of bounded size, not data.
+    """
+    df, dictionary, meanings = _with_lexicons(_prepared(extracted), names, glossary)
+    return _annotated(df, lambda x: _told(x, dictionary, meanings))
+
+
+#: What decides what is told of a content line; all else about it follows from raw.
+_LINE_KEY = ("raw", "people", "animal_line")
+#: Lines that may name more people are not shared, however frequent.
+_MOST_PEOPLE = 16
+
+
+def annotate_tablets(extracted: DataFrame, names: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
+    """What annotate() gives, for many tablets: what is told of a line that is hot (with the people it names) is worked out once.
+
+    As in extract_tablets() that goes to all tasks as one value of at most 1 / HOT rows; other lines are worked out where they stand.
+    """
+    tablets = stored(_prepared(extracted), "annotating")
+    lines = tablets.select(F.inline("lines")).where("kind = 'content'")
+    counted = stored(lines.groupBy("kind", "raw", "number", "body", "low", "people", "animal_line").agg(F.count(F.lit(1)).alias("n")), "told-lines")
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where((F.col("n") >= max(2, int(n * extract.HOT))) & (F.length("raw") <= extract.LONGEST_HOT) & (F.size("people") <= _MOST_PEOPLE)).drop("n")
+    hot = hot.repartition(max(int(extracted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), *_LINE_KEY)
+    rows, dictionary, meanings = _with_lexicons(hot.select(*_LINE_KEY, F.struct("*").alias("x")), names, glossary)
+    known = shared_table(stored(rows.select(*_LINE_KEY, _told(F.col("x"), dictionary, meanings).alias("told")), "told"), *_LINE_KEY)
+    df, dictionary, meanings = _with_lexicons(tablets, names, glossary)
+    hit = lambda x: F.when(x["kind"] == "content", known(*(x[k] for k in _LINE_KEY))["told"])
+    return _annotated(df, lambda x: F.coalesce(hit(x), _told(x, dictionary, meanings)))
 
 
 def token_table(annotated: DataFrame) -> DataFrame:
@@ -249,4 +322,4 @@ def plain_summary(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("_people", people).select("tablet_id", in_words("en").alias("en"), in_words("nl").alias("nl"))
 
 
-__all__ = ["annotate", "token_table", "plain_summary", "person_summary", "lines_of", "split_tokens", "line_type", "translation"]
+__all__ = ["annotate", "annotate_tablets", "token_table", "plain_summary", "person_summary", "lines_of", "split_tokens", "line_type", "translation"]
