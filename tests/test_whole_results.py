@@ -62,3 +62,12 @@ def test_registered(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries()
+
+
+def test_comparisons_broadcast_no_tablets(spark, sf_dir):
+    """Both sides grow with the tablets; estimated sizes of a few columns of a wide table made one a broadcast."""
+    from dubsar.plans import queries
+
+    for name in ("field_accuracy", "field_accuracy_whole", "snapshot_changes"):
+        plan = getattr(queries, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
