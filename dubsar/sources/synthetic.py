@@ -6,7 +6,7 @@ compute what a tablet says from the relational columns, without parsing any text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPECIES = {"STANDARD": "udu", "SMALL": "sila4", "MEDIUM": "masz2", "LARGE": "gu4", "ECONOMY": "ab2", "PROMO": "u8"}
@@ -69,10 +69,13 @@ ORDER_COLUMNS = {
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per lineitem with what its line will say."""
+    """One row per lineitem with what its line will say, the items of an order side by side.
+
+    Dealt out by order are the columns alone; what they say is worked out behind that shuffle.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     line = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("n"), "l_returnflag", "l_linestatus")
-    typed = line.join(read("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    typed = line.join(read("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey").repartition("l_orderkey")
     kinds = typed.withColumns({"kind": F.expr(ITEM_KIND), "species": F.expr(ITEM_SPECIES), "qualifier": F.expr(ITEM_QUALIFIER)})
     return kinds.withColumn("dead", F.expr(ITEM_DEAD))
 
@@ -102,7 +105,11 @@ EDGE = f"CASE WHEN with_edge AND total > 0 THEN {digits('total + edge_error')} E
 def tablets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id_text, designation, transliteration, date_of_origin, dates_referenced and pos, the place in file order."""
     lines = items(spark, sf_dir).select("l_orderkey", "n", F.struct("l_linenumber", "l_partkey", "l_suppkey", "n", F.expr(_ITEM_TEXT).alias("text")).alias("item"))
-    held = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"), F.sum("n").alias("total"))
+    # A window gathers what one sort has brought together. An aggregate would gather in the tasks that read too, where orders are scattered, and spill there.
+    order = Window.partitionBy("l_orderkey")
+    whole = order.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = lines.select("l_orderkey", F.collect_list("item").over(whole).alias("items"), F.sum("n").over(whole).alias("total"), F.row_number().over(order.orderBy("l_orderkey")).alias("at"))
+    held = told.where("at = 1").select("l_orderkey", F.sort_array("items").alias("items"), "total")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     full = orders.join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumns({k: F.expr(v) for k, v in ORDER_COLUMNS.items()})
     body = F.transform(F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,n:bigint,text:string>>")), lambda x: x["text"])

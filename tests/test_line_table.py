@@ -63,6 +63,24 @@ def test_lines_stay_with_their_texts(spark, sf_dir):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_items_are_gathered_behind_one_shuffle(spark, sf_dir):
+    """No aggregate gathers items where they are read, and no text of theirs is dealt out: at 60 times sf0.1 that spilled."""
+    plan = tablets(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    behind = plan[plan.index("hashpartitioning(l_orderkey") :]
+    assert "concat_ws" not in behind and "concat_ws" in plan
+
+
+def test_orders_without_items_and_repeated_items(spark, tmp_path):
+    """Ties among items are read by their text; an order without items has lines of its reverse alone."""
+    spark.sql("SELECT * FROM VALUES (1L, 5L, 'O', timestamp'1995-02-03', '3-MEDIUM'), (2L, 5L, 'O', timestamp'1995-02-03', '3-MEDIUM') AS t(o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (9L, 'STANDARD') AS t(p_partkey, p_type)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 9L, 1L, 2, 4D, 'R', 'O'), (1L, 9L, 1L, 1, 3D, 'R', 'O'), (1L, 9L, 1L, 1, 3D, 'A', 'O'), (7L, 9L, 1L, 1, 3D, 'A', 'O') AS t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag, l_linestatus)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = {r["id_text"]: r["transliteration"].split("\n") for r in tablets(spark, str(tmp_path)).collect()}
+    assert told["1"][3:6] == ["1. 3(disz) udu niga", "2. 3(disz) udu u2", "3. 4(disz) udu niga"]
+    assert told["1"][6] == told["2"][3] == "@reverse" and len(told) == 2
+
+
 def test_shared_table_finds_rows(spark):
     rows = spark.createDataFrame([("a", None, 1), ("a", "b", 2), ('"\\\n š', "b", 3)], "k string, p string, v int")
     find = shared_table(rows, "k", "p")
