@@ -365,9 +365,11 @@ def extract_tablets(tablets: DataFrame, date_column: str = "date_of_origin") ->
     given = given.withColumn("transliteration", strip(F.col("transliteration"))).select(F.struct(*columns).alias("given"))
     cut = given.select("given", atf.sections(atf.stripped_lines(F.col("given.transliteration"))).alias("cut"))
     back = F.transform("cut.content", lambda x, i: (i > 0) & looks_back(x["raw"]))
-    content = F.transform(F.arrays_zip(F.col("cut.content").alias("x"), F.col("back").alias("later")), lambda z, i: F.struct(
-        z["x"]["raw"].alias("raw"), F.when(z["later"], F.get("cut.content", i - 1)["raw"]).alias("prev"), z["later"].alias("later"), z["x"]["numbered"].alias("numbered")))
+    content = F.transform(F.arrays_zip(F.col("cut.content").alias("x"), F.col("back").alias("later")), lambda z: F.struct(
+        z["x"]["raw"].alias("raw"), z["later"].alias("later"), z["x"]["numbered"].alias("numbered")))
     texts = stored(cut.withColumn("back", back).select("given", content.alias("content"), "cut.other", "cut.edge", "cut.n_notes"), "texts")
+    # The line before is found by its place: it is not stored a second time.
+    texts = texts.withColumn("content", F.transform("content", lambda x, i: F.struct(x["raw"].alias("raw"), F.when(x["later"], F.get("content", i - 1)["raw"]).alias("prev"), x["later"].alias("later"), x["numbered"].alias("numbered"))))
 
     row = lambda kind, raw, prev, later: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), prev.alias("prev"), later.alias("later"))
     plain = lambda c, kind: F.transform(c, lambda x: row(kind, x, F.lit(None).cast("string"), F.lit(False)))

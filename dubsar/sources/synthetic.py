@@ -68,15 +68,25 @@ ORDER_COLUMNS = {
 }
 
 
+#: What the strings of a lineitem tell, as one number: place of the type in SPECIES (0 if none), return flag, line status.
+_TOLD = f"""CASE p_type {" ".join(f"WHEN '{t}' THEN {6 * (k + 1)}" for k, t in enumerate(SPECIES))} ELSE 0 END
+  + CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 4 ELSE 0 END + CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END"""
+_RETOLD = {
+    "p_type": pick("CAST((told - told % 6) / 6 AS INT)", list(SPECIES), 1), "l_returnflag": "CASE told % 6 - told % 2 WHEN 2 THEN 'R' WHEN 4 THEN 'A' END",
+    "l_linestatus": "CASE told % 2 WHEN 1 THEN 'F' END",
+}
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem with what its line will say, the items of an order side by side.
 
-    Dealt out by order are the columns alone; what they say is worked out behind that shuffle.
+    Dealt out by order are numbers alone; what they say is worked out behind that shuffle.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     line = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("n"), "l_returnflag", "l_linestatus")
-    typed = line.join(read("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey").repartition("l_orderkey")
-    kinds = typed.withColumns({"kind": F.expr(ITEM_KIND), "species": F.expr(ITEM_SPECIES), "qualifier": F.expr(ITEM_QUALIFIER)})
+    typed = line.join(read("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    dealt = typed.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "n", F.expr(_TOLD).alias("told")).repartition("l_orderkey")
+    kinds = dealt.withColumns({k: F.expr(v) for k, v in _RETOLD.items()}).withColumns({"kind": F.expr(ITEM_KIND), "species": F.expr(ITEM_SPECIES), "qualifier": F.expr(ITEM_QUALIFIER)})
     return kinds.withColumn("dead", F.expr(ITEM_DEAD))
 
 
