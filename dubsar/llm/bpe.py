@@ -140,19 +140,20 @@ class Codec:
         self.vocabulary = self.merges.strings()
         self._special = re.compile("|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))) if self.merges.special else None
         self._mark = os.path.commonprefix(list(self.merges.special))  # no special string without it
-        self._words: dict[str, list[int]] = {}
-        self._pieces: dict[str, tuple[str, bytes]] = {}
-        self._before: dict[str, tuple[str, bytes]] = {}
+        #: Ids of pre-tokens and of pieces, joined by commas; of a piece that decodes to anything but itself also what it decodes to.
+        self._words: dict[str, str] = {}
+        self._pieces: dict[str, str | tuple[str, bytes]] = {}
+        self._before: dict[str, str | tuple[str, bytes]] = {}
         #: Id in decimal and vocabulary string of every symbol; None where a symbol has no id.
         known = [(str(i), self.vocabulary[i]) if i >= 0 and i in self.vocabulary else None for i in self.merges.numbered_ids()]
         self._say, self._raw = [k and k[0] for k in known], [k and k[1] for k in known]
         self._whole = all(known)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> str:
         if (ids := self._words.get(word)) is None:
             if 2 * len(self._words) >= CACHE:
                 self._words.clear()
-            ids = self._words[word] = self.merges.encode_word(word.encode())
+            ids = self._words[word] = ",".join(map(str, self.merges.encode_word(word.encode())))
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -160,27 +161,46 @@ class Codec:
         at = 0
         for m in self._special.finditer(text) if self._special and self._mark in text else ():
             for w in CUT.findall(text[at : m.start()]):
-                out += self._word(w)
+                out += self._ids(w)
             out.append(self.merges.special[m[0]])
             at = m.end()
         for w in CUT.findall(text[at:] if at else text):
-            out += self._word(w)
+            out += self._ids(w)
         return out
 
+    def _ids(self, word: str) -> list[int]:
+        return list(map(int, ids.split(","))) if (ids := self._word(word)) else []
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.vocabulary[i] for i in ids).decode("utf-8", "replace")
 
-    def _piece(self, piece: str, key: str | None = None) -> tuple[str, bytes]:
-        """Ids joined by commas and what they decode to; kept under key, the piece without its blank."""
-        if key and (got := self._before.get(key)):
-            pass
-        elif self._whole and key and key.isalpha():  # one pre-token, beyond doubt
-            sym = self.merges.symbols_of(piece.encode())
-            say, raw = self._say, self._raw
-            got = (",".join([say[s] for s in sym]), b"".join([raw[s] for s in sym]))
-        else:
-            ids = self.encode(piece)
-            got = (",".join(map(str, ids)), b"".join([self.vocabulary[i] for i in ids]))
+    def _letters(self, key: str) -> str | tuple[str, bytes]:
+        """The piece of a blank and the letters of key, which is one pre-token beyond doubt."""
+        if (got := self._pieces.get(key)) is None and (got := self._before.get(key)) is None:
+            raw = b" " + key.encode()
+            sym = self.merges.symbols_of(raw)
+            say, back = self._say, self._raw
+            got, back = ",".join([say[s] for s in sym]), b"".join([back[s] for s in sym])
+            if back != raw:
+                got = (got, back)
+        return self._kept(key, got)
+
+    def _piece(self, piece: str, key: str | None = None) -> str | tuple[str, bytes]:
+        """Ids joined by commas, with what they decode to where that is not the piece; kept under key, the piece without its blank."""
+        if key and self._whole and key.isalpha():
+            return self._letters(key)
+        if key and (got := self._before.get(key)) is not None:
+            return self._kept(key, got)
+        if key and self._whole and (end := key[-1]) in ".,;:!?" and (stem := key[:-1]).isalpha():  # two pre-tokens
+            known, mark = self._letters(stem), self._word(end)
+            if type(known) is str and mark and b"".join(map(self.vocabulary.__getitem__, map(int, mark.split(",")))) == end.encode():
+                return self._kept(key, f"{known},{mark}")
+        ids = self.encode(piece)
+        back = b"".join([self.vocabulary[i] for i in ids])
+        got = ",".join(map(str, ids))
+        return self._kept(key, got if got and back == piece.encode() else (got, back))
+
+    def _kept(self, key: str | None, got: str | tuple[str, bytes]) -> str | tuple[str, bytes]:
         if key is not None and len(key) <= 64:
             if len(self._pieces) >= CACHE:
                 self._before, self._pieces = self._pieces, {}
@@ -190,12 +210,17 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Tokens, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
         if not text or text[0] == " " or _TWO_BLANKS.search(text):
-            ids, back = self._piece(text)
+            pieces, parts = [text], [self._piece(text)]
         else:
-            first, *more = text.split(" ")
+            pieces = text.split(" ")
             get, piece = self._pieces.get, self._piece
-            parts = [piece(first), *[get(x) or piece(" " + x, x) for x in more]]
-            ids, back = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            parts = [piece(pieces[0])]
+            parts += [get(x) or piece(" " + x, x) for x in pieces[1:]]
+        try:
+            ids, back = ",".join(parts), text.encode()
+        except TypeError:  # some piece decodes to something else
+            ids = ",".join([i for p in parts if (i := p if type(p) is str else p[0])])
+            back = b"".join([p[1] if type(p) is tuple else (" " * (k > 0) + x).encode() for k, (p, x) in enumerate(zip(parts, pieces, strict=True))])
         try:
             back.decode()
         except UnicodeDecodeError:
