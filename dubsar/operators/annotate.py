@@ -25,21 +25,31 @@ _SKIP = "skip"
 def lines_of(text: Column) -> Column:
     """section, kind (structural, metadata, damage_note, ruling, content), raw, number, body of every annotated line."""
 
-    def step(acc: Column, line: Column) -> Column:
-        low = F.lower(line)
-        head = starts(line, "@")
-        section = F.when(~head, acc["section"]).when(has(low, "obverse"), "obverse").when(has(low, "reverse"), "reverse").when(has(low, "left"), "left_edge").when(has(low, "seal"), "seal").when(acc["seal"], F.replace(low, F.lit("@"), F.lit(""))).otherwise(acc["section"])
-        plain = head & ~has(low, "obverse", "reverse", "left")
-        seal = F.when(plain & has(low, "seal"), True).when(plain & acc["seal"], False).otherwise(acc["seal"])
-        kind = F.when(head, "structural").when(starts(line, "#", "&"), "metadata").when(starts(line, "$"), F.when(has(low, *atf.BROKEN_WORDS), "damage_note").otherwise("ruling")).when(matches(line, r"(?U)^(?:\d+[.']|\.\s+)"), "content").otherwise(_SKIP)
-        number = F.when(kind == "content", found(line, r"(?U)^(\d+[.'])")).otherwise("")
-        body = F.when(kind == "content", F.regexp_replace(line, r"(?U)^(?:\d+[.']\s*|\.\s+)", "")).otherwise("")
-        row = F.struct(section.alias("section"), kind.alias("kind"), line.alias("raw"), number.alias("number"), body.alias("body"))
-        return F.struct(section.alias("section"), seal.alias("seal"), bind(row, lambda r: F.when((line == "") | (r["kind"] == _SKIP), acc["out"]).otherwise(F.concat(acc["out"], F.array(r)))).alias("out"))
-
-    kind = "array<struct<section:string,kind:string,raw:string,number:string,body:string>>"
-    start = F.struct(F.lit("obverse").alias("section"), F.lit(False).alias("seal"), F.array().cast(kind).alias("out"))
-    return F.aggregate(atf.raw_lines(F.coalesce(text, F.lit(""))), start, step, lambda acc: acc["out"])
+    def step(acc: Column, head: Column) -> Column:
+        low = head["low"]
+        section = F.when(has(low, "obverse"), "obverse").when(has(low, "reverse"), "reverse").when(has(low, "left"), "left_edge").when(has(low, "seal"), "seal").when(acc["seal"], F.replace(low, F.lit("@"), F.lit(""))).otherwise(acc["section"])
+        seal = F.when(has(low, "obverse", "reverse", "left"), acc["seal"]).otherwise(has(low, "seal"))
+        return bind(section, lambda s: F.struct(s.alias("section"), seal.alias("seal"), F.concat(acc["out"], F.array(F.struct(head["at"].alias("at"), s.alias("section")))).alias("out")))
+
+    start = F.struct(F.lit("obverse").alias("section"), F.lit(False).alias("seal"), F.array().cast("array<struct<at:int,section:string>>").alias("out"))
+
+    def of(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x, i: F.when(starts(x, "@"), F.struct(i.alias("at"), F.lower(x).alias("low")))), lambda h: h.isNotNull())
+        return bind(F.aggregate(heads, start, step, lambda acc: acc["out"]), lambda sections: F.filter(F.transform(lines, lambda x, i: row(x, i, sections)), lambda r: r.isNotNull()))
+
+    def row(line: Column, i: Column, sections: Column) -> Column:
+        kind = F.when(matches(line, r"(?U)^(?:\d+[.']|\.\s+)"), "content").when(starts(line, "@"), "structural").when(starts(line, "#", "&"), "metadata").when(starts(line, "$"), F.when(has(F.lower(line), *atf.BROKEN_WORDS), "damage_note").otherwise("ruling")).otherwise(_SKIP)
+
+        def of_kind(k: Column) -> Column:
+            # A line belongs to the last head up to it.
+            section = F.coalesce(last(F.filter(sections, lambda s: s["at"] <= i))["section"], F.lit("obverse"))
+            number = F.when(k == "content", found(line, r"(?U)^(\d+[.'])")).otherwise("")
+            body = F.when(k == "content", F.regexp_replace(line, r"(?U)^(?:\d+[.']\s*|\.\s+)", "")).otherwise("")
+            return F.when(k != _SKIP, F.struct(section.alias("section"), k.alias("kind"), line.alias("raw"), number.alias("number"), body.alias("body")))
+
+        return bind(kind, of_kind)
+
+    return bind(atf.raw_lines(F.coalesce(text, F.lit(""))), of)
 
 
 def _known_prefix(prefix: Column, names: Column, dictionary: Column | None) -> Column:
@@ -166,20 +176,34 @@ def _of_person(people: Column, name: Column, language: str) -> Column:
 
 def _known_people(people: Column) -> Column:
     """name (in small letters), en and nl of each person; of one name the last role counts."""
-    low = lambda p: strip(F.lower(p["name"]))
-    of = lambda n: bind(last(F.filter(people, lambda p: low(p) == n)), lambda p: F.struct(n.alias("name"), _role_detail(p, "en").alias("en"), _role_detail(p, "nl").alias("nl")))
-    return F.transform(F.array_distinct(F.transform(people, low)), of)
+    row = lambda p: F.struct(strip(F.lower(p["name"])).alias("name"), p["role"].alias("role"), p["title"].alias("title"))
+    of = lambda p: F.struct(p["name"].alias("name"), _role_detail(p, "en").alias("en"), _role_detail(p, "nl").alias("nl"))
+    return bind(F.transform(people, row), lambda rows: F.transform(F.array_distinct(F.transform(rows, lambda p: p["name"])), lambda n: bind(last(F.filter(rows, lambda p: p["name"] == n)), of)))
 
 
 _TOLD = "struct<type:string,tokens:array<struct<text:string,role:string,detail:string,en:string,nl:string,damaged:boolean>>,links:array<struct<target:string,value:string,detail:string>>>"
-#: A line without any of these is whole: cleaning changes nothing, and what its tokens say in small letters stands in it.
-_UNEVEN = r"(?U)[<\[#?!Σ]|\s\s|[\s&&[^ ]]|^ | $"
+#: Words in brackets from end to end: no cut at a hyphen parts them.
+_BRACKETED = r"(?<![^ ])\[[^\[\]\s-]*\](?![^ ])"
+#: A line without any of these, bracketed words apart, is whole: what its tokens say in small letters, cleaned, stands in the line in small letters, cleaned.
+_UNEVEN = r"(?U)[<\[\]Σ]|\s\s|[\s&&[^ ]]|^ | $"
+
+
+def _token(text: Column, role: Column, en: Column | str = "", nl: Column | str = "") -> Column:
+    """A token of which no more than this is told."""
+    return F.struct(text.alias("text"), role.alias("role"), F.lit("").alias("detail"), F.lit(en).alias("en") if isinstance(en, str) else en.alias("en"), F.lit(nl).alias("nl") if isinstance(nl, str) else nl.alias("nl"), F.lit(False).alias("damaged"))
 
 
 def _told(x: Column, dictionary: Column | None, meanings: Column | None) -> Column:
-    """type, tokens and links (those to animals apart) of a line: kind, raw, number, body, low, people, animal_line."""
-    note, content, people = x["kind"] == "damage_note", x["kind"] == "content", x["people"]
-    plain = lambda text, role, en="", nl="": F.struct(text.alias("text"), role.alias("role"), F.lit("").alias("detail"), F.lit(en).alias("en") if isinstance(en, str) else en.alias("en"), F.lit(nl).alias("nl") if isinstance(nl, str) else nl.alias("nl"), F.lit(False).alias("damaged"))
+    """type, tokens and links of a line (its number and links to animals apart): kind, raw, body, low, people, animal_line."""
+    note = x["kind"] == "damage_note"
+    whole = _token(x["raw"], F.when(x["kind"] == "structural", "section_header").otherwise(x["kind"]), F.when(note, "broken/missing").otherwise(""), F.when(note, "gebroken/ontbrekend").otherwise(""))
+    other = F.struct(F.when(x["kind"] == "metadata", "metadata").otherwise("structural").alias("type"), F.array(whole).alias("tokens"), F.array().cast("array<struct<target:string,value:string,detail:string>>").alias("links")).cast(_TOLD)
+    return F.when(x["kind"] == "content", _told_content(x, dictionary, meanings)).otherwise(other)
+
+
+def _told_content(x: Column, dictionary: Column | None, meanings: Column | None) -> Column:
+    """What _told() gives of a content line: body, low, people, animal_line."""
+    people = x["people"]
     link = lambda target, value, extra: F.struct(F.lit(target).alias("target"), value.alias("value"), extra.alias("detail"))
 
     def token(t: Column, r: Column) -> Column:
@@ -190,8 +214,7 @@ def _told(x: Column, dictionary: Column | None, meanings: Column | None) -> Colu
         return F.struct(t["text"].alias("text"), r["role"].alias("role"), r["detail"].alias("detail"), F.when(en == "", r["detail"]).otherwise(en).alias("en"), nl.alias("nl"), has(t["text"], "[", "]", "#", "?").alias("damaged"))
 
     def of_content(tokens: Column, roles: Column) -> Column:
-        numbered = F.when(x["number"] != "", F.array(plain(x["number"], F.lit("line_number")))).otherwise(F.array().cast("array<struct<text:string,role:string,detail:string,en:string,nl:string,damaged:boolean>>"))
-        toks = F.concat(numbered, F.transform(F.arrays_zip(tokens.alias("t"), roles.alias("r")), lambda z: token(z["t"], z["r"])))
+        toks = F.transform(F.arrays_zip(tokens.alias("t"), roles.alias("r")), lambda z: token(z["t"], z["r"]))
         marked = F.exists(roles, lambda r: (r["role"] == "structural_keyword") & (r["detail"] == "year_marker"))
         folk = F.transform(F.filter(people, lambda p: F.contains(x["low"], p["name"])), lambda p: link("persons", p["name"], F.coalesce(p["en"], F.lit(""))))
         deals = F.filter(F.array(*(F.when(has(x["low"], k), link("transaction", F.lit(v), F.lit(k))) for k, v in L.TX_KEYWORDS.items())), lambda v: v.isNotNull())
@@ -201,25 +224,22 @@ def _told(x: Column, dictionary: Column | None, meanings: Column | None) -> Colu
         rolled = lambda tokens: bind(_rolled(tokens, x["low"], names, people, x["animal_line"], dictionary, meanings), lambda roles: of_content(tokens, roles))
         return bind(split_tokens(x["body"], names, dictionary), rolled)
 
-    whole = plain(x["raw"], F.when(x["kind"] == "structural", "section_header").otherwise(x["kind"]), F.when(note, "broken/missing").otherwise(""), F.when(note, "gebroken/ontbrekend").otherwise(""))
-    other = F.struct(F.when(x["kind"] == "metadata", "metadata").otherwise("structural").alias("type"), F.array(whole).alias("tokens"), F.array().cast("array<struct<target:string,value:string,detail:string>>").alias("links")).cast(_TOLD)
-    return F.when(content, bind(F.transform(people, lambda p: p["name"]), by_names)).otherwise(other)
+    return bind(F.transform(people, lambda p: p["name"]), by_names)
 
 
 def _prepared(extracted: DataFrame) -> DataFrame:
-    """tablet_id, beasts and lines, each with the people that it may name and whether its animals matter; of a whole line that is what it holds."""
+    """tablet_id, animals and lines, each with the people that it may name and whether its animals matter; of a whole line that is what it holds."""
 
     def seen(x: Column, whole: Column, low: Column) -> Column:
         content = x["kind"] == "content"
         some = F.when(content & whole, F.filter("people", lambda p: F.contains(low, p["name"]))).when(content, F.col("people")).otherwise(F.slice("people", 1, 0))
         # Only a measure, ga, is another thing in a line of animals.
-        beast = (~whole | F.contains(low, F.lit("ga"))) & F.exists("beasts", lambda a: F.contains(low, a["animal"]))
+        beast = (~whole | F.contains(low, F.lit("ga"))) & F.exists("animals", lambda a: F.contains(low, a["animal"]))
         return F.struct(*(x[k].alias(k) for k in ("section", "kind", "raw", "number", "body")), low.alias("low"), some.alias("people"), F.coalesce(beast, F.lit(False)).alias("animal_line"))
 
-    line = lambda x: bind(~matches(x["body"], _UNEVEN), lambda whole: bind(F.lower(F.when(whole, x["body"]).otherwise(atf.without_damage(x["body"]))), lambda low: seen(x, whole, low)))
-    beasts = F.transform("animals", lambda a: F.struct(a["animal"].alias("animal"), F.lower(atf.without_damage(a["raw"])).alias("low")))
-    base = extracted.select("tablet_id", _known_people(F.col("persons")).alias("people"), beasts.alias("beasts"), lines_of(F.col("transliteration")).alias("lines"))
-    return base.select("tablet_id", "beasts", F.transform("lines", line).alias("lines"))
+    line = lambda x: bind(~matches(F.when(has(x["body"], "["), F.regexp_replace(x["body"], _BRACKETED, "x")).otherwise(x["body"]), _UNEVEN), lambda whole: bind(F.lower(atf.without_damage(x["body"])), lambda low: seen(x, whole, low)))
+    base = extracted.select("tablet_id", _known_people(F.col("persons")).alias("people"), F.transform("animals", lambda a: F.struct(a["animal"].alias("animal"), a["raw"].alias("raw"))).alias("animals"), lines_of(F.col("transliteration")).alias("lines"))
+    return base.select("tablet_id", "animals", F.transform("lines", line).alias("lines"))
 
 
 def _with_lexicons(df: DataFrame, names: DataFrame | None, glossary: DataFrame | None) -> tuple[DataFrame, Column | None, Column | None]:
@@ -235,11 +255,14 @@ def _with_lexicons(df: DataFrame, names: DataFrame | None, glossary: DataFrame |
 def _annotated(prepared: DataFrame, told: Callable[[Column], Column]) -> DataFrame:
     link = lambda i: F.struct(F.lit("animals").alias("target"), i.cast("string").alias("value"), F.lit("").alias("detail"))
 
-    def finished(x: Column) -> Column:
-        beasts = F.filter(F.transform("beasts", lambda a, i: F.when((x["kind"] == "content") & (a["low"] == x["low"]), link(i))), lambda v: v.isNotNull())
-        return bind(told(x), lambda t: F.struct(t["type"].alias("type"), x["section"].alias("section"), x["raw"].alias("raw"), t["tokens"].alias("tokens"), F.concat(beasts, t["links"]).alias("links")))
+    def finished(x: Column, lows: Column) -> Column:
+        beasts = F.filter(F.transform(lows, lambda low, i: F.when((x["kind"] == "content") & (low == x["low"]), link(i))), lambda v: v.isNotNull())
+        number = _token(x["number"], F.lit("line_number"))
+        tokens = lambda t: F.when(x["number"] != "", F.concat(F.array(number), t["tokens"])).otherwise(t["tokens"])
+        return bind(told(x), lambda t: F.struct(t["type"].alias("type"), x["section"].alias("section"), x["raw"].alias("raw"), tokens(t).alias("tokens"), F.concat(beasts, t["links"]).alias("links")))
 
-    return prepared.select(F.inline_outer(F.array(F.struct("tablet_id", F.transform("lines", finished).alias("annotated")))))
+    annotated = bind(F.transform("animals", lambda a: F.lower(atf.without_damage(a["raw"]))), lambda lows: F.transform("lines", lambda x: finished(x, lows)))
+    return prepared.select(F.inline_outer(F.array(F.struct("tablet_id", annotated.alias("annotated")))))
 
 
 def annotate(extracted: DataFrame, names: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
@@ -252,8 +275,8 @@ def annotate(extracted: DataFrame, names: DataFrame | None = None, glossary: Dat
     return _annotated(df, lambda x: _told(x, dictionary, meanings))
 
 
-#: What decides what is told of a content line; all else about it follows from raw.
-_LINE_KEY = ("raw", "people", "animal_line")
+#: What decides what is told of a content line, its number apart.
+_LINE_KEY = ("body", "people", "animal_line")
 #: Lines that may name more people are not shared, however frequent.
 _MOST_PEOPLE = 16
 
@@ -265,17 +288,33 @@ def annotate_tablets(extracted: DataFrame, names: DataFrame | None = None, gloss
     """
     tablets = stored(_prepared(extracted), "annotating")
     lines = tablets.select(F.inline("lines")).where("kind = 'content'")
-    counted = stored(lines.groupBy("kind", "raw", "number", "body", "low", "people", "animal_line").agg(F.count(F.lit(1)).alias("n")), "told-lines")
-    n = counted.agg(F.sum("n")).first()[0] or 0
-    hot = counted.where((F.col("n") >= max(2, int(n * extract.HOT))) & (F.length("raw") <= extract.LONGEST_HOT) & (F.size("people") <= _MOST_PEOPLE)).drop("n")
+    counted = stored(lines.groupBy("body", "low", "people", "animal_line").agg(F.count(F.lit(1)).alias("n")), "told-lines")
+    hot = extract.most_frequent(counted.where((F.length("body") <= extract.LONGEST_HOT) & (F.size("people") <= _MOST_PEOPLE))).drop("n")
     hot = hot.repartition(max(int(extracted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), *_LINE_KEY)
     rows, dictionary, meanings = _with_lexicons(hot.select(*_LINE_KEY, F.struct("*").alias("x")), names, glossary)
-    known = shared_table(stored(rows.select(*_LINE_KEY, _told(F.col("x"), dictionary, meanings).alias("told")), "told"), *_LINE_KEY)
+    known = shared_table(stored(rows.select(*_LINE_KEY, _told_content(F.col("x"), dictionary, meanings).alias("told")), "told"), *_LINE_KEY)
     df, dictionary, meanings = _with_lexicons(tablets, names, glossary)
     hit = lambda x: F.when(x["kind"] == "content", known(*(x[k] for k in _LINE_KEY))["told"])
     return _annotated(df, lambda x: F.coalesce(hit(x), _told(x, dictionary, meanings)))
 
 
+def line_counts(extracted: DataFrame, names: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
+    """type, section, numbered, tokens (the number's apart) and n of each distinct line of all tablets, as annotate() tells them.
+
+    For counts of what lines and tokens are: each distinct line is told once, however often it stands, and no tablet is put together.
+    """
+    content = F.col("kind") == "content"
+    # Of inline() the optimizer infers a filter on the size of the array, for which it would work out all lines once more.
+    lines = _prepared(extracted).select(F.inline_outer("lines")).where("kind is not null")
+    key = {"section": F.col("section"), "kind": F.col("kind"), "raw": F.when(content, "").otherwise(F.col("raw")), "numbered": F.col("number") != "", "body": F.col("body"), "low": F.col("low"), "people": F.col("people"), "animal_line": F.col("animal_line")}
+    counted = lines.groupBy(*(c.alias(k) for k, c in key.items())).agg(F.count(F.lit(1)).alias("n"))
+    # Few bytes may be much work: see extract_tablets().
+    dealt = counted.repartition(max(int(extracted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), *key)
+    df, dictionary, meanings = _with_lexicons(dealt.select("section", "numbered", "n", F.struct(*key).alias("x")), names, glossary)
+    told = df.select("section", "numbered", "n", _told(F.col("x"), dictionary, meanings).alias("told"))
+    return told.select("told.type", "section", "numbered", "told.tokens", "n")
+
+
 def token_table(annotated: DataFrame) -> DataFrame:
     """One row per token: tablet_id, line, type, section, seq, text, role, detail, en, nl, damaged."""
     lines = annotated.select("tablet_id", F.posexplode("annotated").alias("line", "x"))
@@ -322,4 +361,4 @@ def plain_summary(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("_people", people).select("tablet_id", in_words("en").alias("en"), in_words("nl").alias("nl"))
 
 
-__all__ = ["annotate", "annotate_tablets", "token_table", "plain_summary", "person_summary", "lines_of", "split_tokens", "line_type", "translation"]
+__all__ = ["annotate", "annotate_tablets", "line_counts", "token_table", "plain_summary", "person_summary", "lines_of", "split_tokens", "line_type", "translation"]
